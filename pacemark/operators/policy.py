@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pacemark.functions.periods import (
@@ -123,8 +123,6 @@ def step_period_join(totals: DataFrame, steps: DataFrame, default: int) -> DataF
 
     The table turns into intervals that cover each total at most once, so the join adds no rows.
     """
-    from pyspark.sql import Window
-
     lower = F.lag("threshold").over(Window.orderBy("threshold"))  # a step table has a few rows
     spans = steps.select("threshold", "period", lower.alias("_above"))
     inside = (
@@ -178,6 +176,11 @@ def controller(
     return out.drop("any_change")
 
 
+def gated(computed: DataFrame, dynamic: Column) -> DataFrame:
+    """Static clusters keep their averages but get no recommended period (NULL)."""
+    return computed.withColumn("period", F.when(dynamic, F.col("period")))
+
+
 def policy_rows(means: DataFrame) -> DataFrame:
     """Each row once per policy, in the column ``policy``."""
     return means.withColumn("policy", F.explode(F.array(F.lit(YOUNG), F.lit(DALY))))
