@@ -19,10 +19,23 @@ def flatten(
 ) -> DataFrame:
     """One row per node: ``depth``, ``path``, ``name``, ``parent``, ``value``.
 
-    The tree is taken apart level by level as VARIANT values; the driver only learns whether another
-    level exists.
+    The trees are taken apart level by level as VARIANT values. The number of levels is the deepest
+    nesting of braces outside of strings; only that number reaches the driver.
     """
     names = list(keys)
+    bare = F.regexp_replace(text, r'"(?:[^"\\]|\\.)*"', "")
+    braces = F.split(F.regexp_replace(bare, r"[^{}]", ""), "")
+    step = F.create_map(F.lit("{"), F.lit(1), F.lit("}"), F.lit(-1))
+    nesting = F.aggregate(
+        braces,
+        F.struct(F.lit(0).alias("now"), F.lit(0).alias("top")),
+        lambda a, x: F.struct(
+            (a["now"] + F.coalesce(step[x], F.lit(0))).alias("now"),
+            F.greatest(a["top"], a["now"] + F.coalesce(step[x], F.lit(0))).alias("top"),
+        ),
+        lambda a: a["top"],
+    )
+    levels = (documents.agg(F.max(nesting)).first()[0] or 1) - 1
 
     def children(df: DataFrame, of: str, depth: int) -> DataFrame:
         nodes = F.variant_get(F.col(of), "$", "map<string, variant>")
@@ -30,19 +43,12 @@ def flatten(
             "depth", F.lit(depth)
         )
 
-    level = children(
-        documents.select(*names, F.parse_json(text).alias("_doc")), "_doc", 0
-    )
-    levels = []
-    while True:
-        levels.append(level)
+    level = children(documents.select(*names, F.parse_json(text).alias("_doc")), "_doc", 0)
+    flat = level
+    for depth in range(1, levels):
         inside = level.withColumn("_kids", F.variant_get("node", "$[2]", "variant"))
-        level = children(inside, "_kids", len(levels))
-        if level.isEmpty():
-            break
-    flat = levels[0]
-    for more in levels[1:]:
-        flat = flat.unionByName(more)
+        level = children(inside, "_kids", depth)
+        flat = flat.unionByName(level)
     path = F.variant_get("node", "$[1]", "string")
     return flat.select(
         *names,

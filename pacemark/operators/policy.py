@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pacemark.functions.periods import (
     DALY,
+    HISTORY_LENGTH,
     IO_STEP_DEFAULT,
     IO_STEPS,
     PERIOD_START,
@@ -19,32 +20,55 @@ from pacemark.functions.periods import (
     step_period,
     valid_period,
 )
-from pacemark.operators.history import history_avg, number, tbf_simple
+from pacemark.operators.history import history_avg
 from pacemark.operators.hysteresis import announce
-from pacemark.operators.ordered import SLICE, last_known, previous, scan
+from pacemark.operators.ordered import SLICE, last_known, previous, row_number, scan
 from pacemark.operators.telemetry import CLUSTER, ORDER, UPDATE, io_total
 
 COST, MTBF = "checkpoint", "mtbf"
 
 
+def observe(
+    rows: DataFrame,
+    cluster: Sequence[str] = CLUSTER,
+    order: Sequence[str] = ORDER,
+    slice_col: str = SLICE,
+) -> DataFrame:
+    """Cost rows (``series`` checkpoint, ``value`` in ms) and failure rows (``series`` mtbf, ``t`` in s)
+    as observations with ``value`` and ``seq``.
+
+    The value of a failure is the time since the one before; the first one gives no observation.
+    """
+    keys = [*cluster, "series"]
+    gap = F.col("t") - F.col("_prior")
+    is_gap = F.col("series") == MTBF
+    numbered = scan(
+        rows, keys, order, {"_prior": previous(F.col("t")), "_rn": row_number()}, slice_col
+    )
+    return (
+        numbered.where(~is_gap | F.col("_prior").isNotNull())
+        .withColumns(
+            {
+                "value": F.when(is_gap, gap).otherwise(F.col("value")),
+                "seq": F.col("_rn") - F.when(is_gap, 2).otherwise(1),
+            }
+        )
+        .select(*keys, *order, slice_col, "seq", "value")
+    )
+
+
 def averages(
-    costs: DataFrame,
-    gaps: DataFrame,
-    n: int,
+    observations: DataFrame,
+    n: int = HISTORY_LENGTH,
     cluster: Sequence[str] = CLUSTER,
     order: Sequence[str] = ORDER,
     slice_col: str = SLICE,
 ) -> DataFrame:
     """Current mean cost (ms) and mean time between failures (s) after every observation.
 
-    ``costs`` and ``gaps`` are observations with ``seq`` and ``value``. Each row keeps its ``series``;
-    a mean is NULL as long as its series has no observation.
+    Each row keeps its ``series``; a mean is NULL as long as its series has no observation.
     """
-    columns = [*cluster, *order, slice_col, "seq", "value"]
-    both = costs.select(*columns, F.lit(COST).alias("series")).unionByName(
-        gaps.select(*columns, F.lit(MTBF).alias("series"))
-    )
-    means = history_avg(both, n, [*cluster, "series"])
+    means = history_avg(observations, n, [*cluster, "series"])
     series, mean = F.col("series"), F.col("avg_value")
     return scan(
         means.select(*cluster, *order, slice_col, "series", "avg_value"),
@@ -58,25 +82,6 @@ def averages(
     ).drop("avg_value")
 
 
-def observed_averages(
-    costs: DataFrame,
-    failures: DataFrame,
-    n: int,
-    cluster: Sequence[str] = CLUSTER,
-    order: Sequence[str] = ORDER,
-    slice_col: str = SLICE,
-) -> DataFrame:
-    """`averages` from cost rows (``value``, ms) and failure rows (``t``, s)."""
-    return averages(
-        number(costs, cluster, order, slice_col),
-        tbf_simple(failures, "t", cluster, order, slice_col),
-        n,
-        cluster,
-        order,
-        slice_col,
-    )
-
-
 def candidates(
     means: DataFrame, policy: Column | int = YOUNG, compat: bool = False
 ) -> DataFrame:

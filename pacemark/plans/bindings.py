@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from pacemark.operators import history
 from pacemark.operators.kvtree import with_inner_nodes
-from pacemark.operators.ordered import Slices
+from pacemark.operators.ordered import Slices, running_sum, scan
+from pacemark.operators.policy import observe
 
 CLUSTERS = 8
 SUPPLIERS_PER_SNAPSHOT = 50
@@ -108,16 +109,24 @@ def failures(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("cluster", "us", "event_id", "slice", "t")
 
 
+def costs_and_failures(spark: SparkSession, sf: str) -> DataFrame:
+    """Both series of the history before the times between failures are known."""
+    rows = events(spark, sf).where(F.col("event_type").isin("click", "error"))
+    is_cost = F.col("event_type") == "click"
+    return rows.select(
+        "cluster",
+        F.when(is_cost, "checkpoint").otherwise("mtbf").alias("series"),
+        "us",
+        "event_id",
+        "slice",
+        "t",
+        F.when(is_cost, history.whole(F.col("value") * 1000)).alias("value"),
+    )
+
+
 def observations(spark: SparkSession, sf: str) -> DataFrame:
     """Costs and times between failures as one history per cluster and series."""
-    gaps = history.tbf_simple(failures(spark, sf))
-    columns = ["cluster", "series", "us", "event_id", "slice", "value"]
-    return (
-        costs(spark, sf)
-        .withColumn("series", F.lit("checkpoint"))
-        .select(*columns)
-        .unionByName(gaps.withColumn("series", F.lit("mtbf")).select(*columns))
-    )
+    return observe(costs_and_failures(spark, sf))
 
 
 def ram_samples(spark: SparkSession, sf: str) -> DataFrame:
@@ -129,8 +138,6 @@ def ram_samples(spark: SparkSession, sf: str) -> DataFrame:
 
 def counters(spark: SparkSession, sf: str) -> DataFrame:
     """Cumulative write counters per client."""
-    from pacemark.operators.ordered import running_sum, scan
-
     step = F.floor(F.col("value") * 100000)
     rows = events(spark, sf).select("cluster", "client", "us", "event_id", "slice", "t", "value")
     return scan(

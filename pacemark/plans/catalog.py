@@ -14,6 +14,7 @@ from pacemark.functions import periods
 from pacemark.functions.text import run_fields, seconds_after_equals
 from pacemark.operators import history, kvtree, lists, logs, policy, runs, telemetry, workloads
 from pacemark.plans import bindings as b
+from pacemark.session import cut
 from pacemark.sources.text import EXEC_MARK, last_token_values
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -144,7 +145,7 @@ def value_truncation(spark, sf):
 
 @query
 def ring_slots(spark, sf):
-    out = history.ring_slots(b.observations(spark, sf))
+    out = history.ring_slots(b.observations(spark, sf).drop("seq"))
     return out.select("event_id", "cluster", "series", "value", "seq", "slot")
 
 
@@ -156,7 +157,7 @@ def ring_current(spark, sf):
 
 @query
 def history_avg(spark, sf):
-    out = history.history_avg(history.number(b.observations(spark, sf)))
+    out = history.history_avg(b.observations(spark, sf))
     return out.select("event_id", "cluster", "series", _r(F.col("avg_value")).alias("avg_value"))
 
 
@@ -207,9 +208,7 @@ def run_cost_snapshot(spark, sf):
 
 
 def _means(spark, sf):
-    return policy.observed_averages(
-        b.costs(spark, sf), b.failures(spark, sf), periods.HISTORY_LENGTH
-    )
+    return policy.averages(policy.observe(b.costs_and_failures(spark, sf)))
 
 
 def _formula(spark, sf, period):
@@ -312,7 +311,7 @@ def run_overhead(spark, sf):
         "benchmark",
         "phase",
         _r(F.col("over_fixed"), 4).alias("over_fixed"),
-        _r(F.col("overhead"), 4).alias("over_af"),
+        (_r(F.col("overhead"), 4) + 0.0).alias("over_af"),
     )
 
 
@@ -484,7 +483,7 @@ def kv_nest(spark, sf):
 
 @query
 def kv_flatten(spark, sf):
-    return kvtree.flatten(kvtree.nest(b.snapshot_nodes(spark, sf)))
+    return kvtree.flatten(cut(kvtree.nest(b.snapshot_nodes(spark, sf))))
 
 
 @query

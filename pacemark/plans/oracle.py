@@ -251,7 +251,7 @@ ORACLE: dict[str, str] = {
     "run_overhead": f"""with {RUNS}, s as (select benchmark, phase, avg(seconds) mean from r group by 1, 2),
       a as (select benchmark, mean base from s where phase = 'AF')
       select s.benchmark, phase, round(100 - 26.0 * 100.0 / mean, 4) over_fixed,
-        round(100 - base * 100.0 / mean, 4) over_af from s left join a on a.benchmark = s.benchmark""",
+        round(100 - base * 100.0 / mean, 4) + 0.0 over_af from s left join a on a.benchmark = s.benchmark""",
     "run_margin": f"""with {RUNS}, s as (select benchmark, phase, rep, avg(seconds) mean,
         1.96 * stddev_pop(seconds) p, count(*) n from r group by 1, 2, 3)
       select benchmark, phase, rep, round(p / sqrt(20), 4) margin20, round(p / sqrt(n), 4) margin,
