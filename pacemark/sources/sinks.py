@@ -62,6 +62,17 @@ def write_version(df: DataFrame, path: str, batch: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/version={batch}")
 
 
+def prune_versions(spark: SparkSession, path: str, keep: int = 3) -> None:
+    """Delete all but the newest ``keep`` versions of a state table written here."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(folder)]
+    versions = sorted(int(n.split("=")[1]) for n in names if n.startswith("version="))
+    for old in versions[:-keep]:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/version={old}"), True)
+
+
 def upsert_batches(path: str, order: Sequence[str] = ORDER):
     """``foreachBatch`` function that keeps the last value per ``path`` in a versioned table."""
 
