@@ -29,11 +29,21 @@ LINE_SLICE = "block"
 
 
 def log_files(spark: SparkSession, folder: str, name: str = ".*") -> DataFrame:
-    """Files whose name begins with the pattern, also empty ones; contents are not read."""
-    file = F.element_at(F.split("path", "/"), -1)
-    listed = spark.read.format("binaryFile").load(folder).select("path", "length")
-    return listed.where(file.rlike(f"^(?:{name})")).select(
-        file.alias("file"), _file_no(file, name).alias("file_no"), F.col("length")
+    """Files whose name begins with the pattern, also those without any byte.
+
+    Spark's own readers leave empty files out, so names and sizes come from the file system's listing,
+    which a reader keeps on the driver as well.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    listed = [
+        (s.getPath().getName(), s.getLen()) for s in fs.listStatus(path) if s.isFile()
+    ]
+    file = F.col("file")
+    return (
+        spark.createDataFrame(listed, "file string, length bigint")
+        .where(file.rlike(f"^(?:{name})"))
+        .select(file, _file_no(file, name).alias("file_no"), "length")
     )
 
 
