@@ -20,7 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pacemark.operators.ordered import SLICE
-from pacemark.session import cut
+from pacemark.session import cut, runs_in_tasks
+
+runs_in_tasks(__name__)
 
 WORD = 62  # cases per BIGINT
 

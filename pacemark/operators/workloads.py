@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -12,7 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pacemark.operators.ordered import SLICE, row_number, scan
-from pacemark.session import cut
+from pacemark.session import cut, cut_in_layout, runs_in_tasks
+
+
+runs_in_tasks(__name__)
 
 
 def wordcount(df: DataFrame, text: str = "text", separator: str = r"[ \t\r\n]+") -> DataFrame:
@@ -122,8 +125,15 @@ class Cadence:
         return max(1, min(self.longest, int(period // each)))
 
 
-def iterate(state: DataFrame, step, iterations: int, cadence: Cadence, alert=lambda: False) -> DataFrame:
-    """Apply ``step(state, i)`` repeatedly, checkpointing as the cadence says.
+def iterate(
+    state: DataFrame,
+    step: Callable[[DataFrame, int], DataFrame],
+    iterations: int,
+    cadence: Cadence,
+    alert: Callable[[], bool] = lambda: False,
+    store: Callable[[DataFrame], DataFrame] = cut,
+) -> DataFrame:
+    """Apply ``step(state, i)`` repeatedly, checkpointing with ``store`` as the cadence says.
 
     ``alert`` is asked after each iteration and forces a checkpoint, e.g. on low memory.
     """
@@ -132,12 +142,15 @@ def iterate(state: DataFrame, step, iterations: int, cadence: Cadence, alert=lam
         state = step(state, i)
         since += 1
         if since >= planned or alert():
-            state = cut(state)
+            state = store(state)
             cadence.observe(since, time.monotonic() - began)
             since, planned, began = 0, cadence.next(), time.monotonic()
     return state
 
 
+BROADCAST_ROWS = 1_000_000
+
+
 def pagerank(
     edges: DataFrame,
     iterations: int,
@@ -147,38 +160,41 @@ def pagerank(
 ) -> DataFrame:
     """PageRank over distinct edges (``src``, ``dst``) for a fixed number of iterations.
 
-    Nodes without outgoing edges spread their rank evenly. The edges are laid out once by source; a
-    source with more than ``edges_per_part`` edges is divided into parts, and only its rank is copied
-    to each of them.
+    Nodes without outgoing edges spread their rank evenly. Edges and nodes are laid out once, by source
+    and by node, so an iteration shuffles nothing but partial sums. If a source has more than
+    ``edges_per_part`` edges, edges are divided further and ranks are copied to the parts.
     """
-    degrees = edges.groupBy("src").agg(F.count("*").alias("deg"))
-    parts = F.ceil(F.col("deg") / edges_per_part)
-    large = degrees.where(F.col("deg") > edges_per_part).select("src", parts.alias("_parts"))
-    part = F.coalesce(F.pmod(F.xxhash64("dst"), F.col("_parts")), F.lit(0).cast("bigint"))
-    laid = cut(
-        edges.join(large, "src", "left")
-        .select("src", "dst", part.alias("part"))
-        .repartition("src", "part")
-    )
-    nodes = cut(
-        edges.select(F.col("src").alias("node"))
-        .unionByName(edges.select(F.col("dst").alias("node")))
-        .distinct()
-        .join(degrees.withColumnRenamed("src", "node"), "node", "left")
-        .select("node", "deg")
-    )
+    given = cut(edges.select("src", "dst"))
+    degrees = given.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("deg"))
+    targets = given.select(F.col("dst").alias("node")).distinct()
+    nodes = cut_in_layout(cut(degrees.join(targets, "node", "full")), ["node"])
     n = nodes.count()
     dangling = not nodes.where(F.col("deg").isNull()).isEmpty()
 
+    parts = F.ceil(F.col("deg") / edges_per_part)
+    large = nodes.where(F.col("deg") > edges_per_part).select(
+        F.col("node").alias("src"), parts.alias("_parts")
+    )
+    n_large = large.count()
+    keys = ["src"]
+    if n_large:
+        keys = ["src", "part"]
+        few = n_large <= BROADCAST_ROWS
+        # beyond that, a join that adaptive planning splits at the large sources
+        found = given.join(F.broadcast(large) if few else large, "src", "left")
+        part = F.coalesce(F.pmod(F.xxhash64("dst"), F.col("_parts")), F.lit(0).cast("bigint"))
+        given = cut(found.select("src", "dst", part.alias("part")))
+    laid = cut_in_layout(given, keys)
+
     def step(ranks: DataFrame, _: int) -> DataFrame:
-        copies = F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))
         giving = ranks.where(F.col("deg").isNotNull()).select(
-            F.col("node").alias("src"),
-            (F.col("rank") / F.col("deg")).alias("share"),
-            copies.alias("part"),
+            F.col("node").alias("src"), "deg", (F.col("rank") / F.col("deg")).alias("share")
         )
+        if n_large:
+            copies = F.sequence(F.lit(0).cast("bigint"), parts - 1)
+            giving = giving.withColumn("part", F.explode(copies))
         received = (
-            laid.join(giving, ["src", "part"])
+            laid.join(giving.drop("deg"), keys)
             .groupBy(F.col("dst").alias("node"))
             .agg(F.sum("share").alias("got"))
         )
@@ -189,9 +205,11 @@ def pagerank(
         return nodes.join(received, "node", "left").select("node", "deg", rank.alias("rank"))
 
     start = nodes.withColumn("rank", F.lit(1.0 / n) if n else F.lit(0.0))
-    return iterate(start, step, iterations, cadence or Cadence(mtbf_s=3600.0)).select(
-        "node", "rank"
+    pace = cadence or Cadence(mtbf_s=3600.0)
+    ranks = iterate(
+        start, step, iterations, pace, store=lambda df: cut_in_layout(df, ["node"])
     )
+    return ranks.select("node", "rank")
 
 
 def write_probe(df: DataFrame, path: str) -> DataFrame:

@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
+def runs_in_tasks(module: str) -> None:
+    """Send the functions of a module to the tasks themselves, not as an import.
+
+    Executors then need no copy of this package.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
 def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A single-machine session for tests and the bench."""
     return (
@@ -46,3 +56,19 @@ def cut(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def cut_in_layout(df: DataFrame, keys: list[str]) -> DataFrame:
+    """`cut`, hash-partitioned and sorted by ``keys`` in a way that later joins and groupings know.
+
+    A checkpoint keeps its partitioning only if it was written without adaptive planning; so that is
+    switched off for this one write, which has nothing to adapt.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut(df.repartition(n, *keys).sortWithinPartitions(*keys))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
