@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pacemark.session import cut
+
 CREATED, MODIFIED, UNCHANGED = "Created", "Modified", "Unchanged"
 
 
@@ -37,18 +39,22 @@ def flatten(
     )
     levels = (documents.agg(F.max(nesting)).first()[0] or 1) - 1
 
-    def children(df: DataFrame, of: str, depth: int) -> DataFrame:
-        nodes = F.variant_get(F.col(of), "$", "map<string, variant>")
-        return df.select(*names, F.explode(nodes).alias("name", "node")).withColumn(
-            "depth", F.lit(depth)
+    def children(node: Column, depth: int) -> Column:
+        named = F.map_entries(F.variant_get(node, "$", "map<string, variant>"))
+        return F.transform(
+            named,
+            lambda e: F.struct(
+                e["key"].alias("name"), e["value"].alias("node"), F.lit(depth).alias("depth")
+            ),
         )
 
-    level = children(documents.select(*names, F.parse_json(text).alias("_doc")), "_doc", 0)
-    flat = level
+    flat = documents.select(*names, F.inline(children(F.parse_json(text), 0)))
+    itself = F.array(F.struct("name", "node", "depth"))
     for depth in range(1, levels):
-        inside = level.withColumn("_kids", F.variant_get("node", "$[2]", "variant"))
-        level = children(inside, "_kids", depth)
-        flat = flat.unionByName(level)
+        # nodes of the level before make room for their children, all others pass
+        kids = children(F.variant_get("node", "$[2]", "variant"), depth)
+        opens = (F.col("depth") == depth - 1) & kids.isNotNull()
+        flat = flat.select(*names, F.inline(F.when(opens, F.concat(itself, kids)).otherwise(itself)))
     path = F.variant_get("node", "$[1]", "string")
     return flat.select(
         *names,
@@ -87,17 +93,18 @@ def nest(nodes: DataFrame, keys: Sequence[str] = ("snapshot",)) -> DataFrame:
     """One JSON document per snapshot from its flat nodes (``path``, ``value``).
 
     Works from the deepest level up with one grouping per level; the driver only learns the depth. A
-    NULL value is written as 0. Children are in the order of their names.
+    NULL value is written as 0. Children are in the order of their names. A document is one string, so
+    a snapshot has to fit one; many snapshots are worked off side by side.
     """
     names = list(keys)
     depth = F.when(F.col("path") == "/", 0).otherwise(
         F.size(F.split(F.trim("path", F.lit("/")), "/"))
     )
-    def quoted(column: str):
+    def quoted(column: str) -> Column:
         listed = F.to_json(F.array(column))
         return F.substring(listed, F.lit(2), F.length(listed) - 2)
 
-    flat = nodes.select(
+    shaped = nodes.select(
         *names,
         "path",
         depth.alias("_depth"),
@@ -105,6 +112,7 @@ def nest(nodes: DataFrame, keys: Sequence[str] = ("snapshot",)) -> DataFrame:
         F.element_at(F.split(F.trim("path", F.lit("/")), "/"), -1).alias("_name"),
         F.when(F.col("value").isNull(), "0").otherwise(quoted("value")).alias("_v"),
     )
+    flat = cut(shaped)  # read once per level
     head = F.concat(F.lit("["), F.col("_v"))
 
     top = flat.agg(F.max("_depth")).first()[0] or 0
@@ -118,13 +126,13 @@ def nest(nodes: DataFrame, keys: Sequence[str] = ("snapshot",)) -> DataFrame:
         text = F.concat(
             head, F.lit(", "), quoted("path"), F.lit(", {"), F.coalesce("_kids", F.lit("")), F.lit("}]")
         )
-        shaped = here.withColumn("_text", text)
+        written = here.withColumn("_text", text)
         if d == 0:
-            return shaped.select(
+            return written.select(
                 *names, F.concat(F.lit('{"/": '), F.col("_text"), F.lit("}")).alias("doc")
             )
         below = (
-            shaped.select(
+            written.select(
                 *names,
                 F.col("_parent").alias("path"),
                 F.struct(

@@ -7,7 +7,8 @@ ones (`scan`). Frames of a fixed number of rows (`last_n`) run over blocks of a
 each block seeing the last rows of the block before it.
 
 Where the slices are cut affects only balance, never results.
-Key and order columns must not be NULL, and the order columns together must be unique per key.
+A row with a NULL key belongs to no key and is left out; order columns must not be NULL and must be
+unique together per key.
 """
 
 from __future__ import annotations
@@ -187,7 +188,8 @@ def scan(
     )
     kept = [c for c in df.columns if c not in columns]
     local = df.select("*", *[c.local(w).alias(f"_l_{n}") for n, c in columns.items()])
-    return local.join(carry, parts, "left").select(
+    # an inner join: both branches then read the input with the same filters and share its shuffle
+    return local.join(carry, parts).select(
         *kept,
         *[c.finish(F.col(f"_l_{n}"), F.col(f"_c_{n}")).alias(n) for n, c in columns.items()],
     )

@@ -85,11 +85,11 @@ def phase_comparison(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
-    phases: tuple[str, str] = ("AF", "DF"),
+    phases: tuple[str | int, str | int] = ("AF", "DF"),
     phase: str = "phase",
 ) -> DataFrame:
-    """Mean per phase side by side, and the second phase relative to the first."""
-    first, second = phases
+    """Mean per phase (or checkpoint period) side by side, and the second relative to the first."""
+    first, second = (str(p) for p in phases)
     return (
         df.groupBy(*keys)
         .pivot(phase, list(phases))

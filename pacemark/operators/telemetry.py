@@ -16,7 +16,7 @@ from pacemark.operators.ordered import SLICE, last_known, previous, running_sum,
 
 ORDER = ("us", "event_id")
 CLUSTER = ("cluster",)
-CLIENT = ("cluster", "client")
+CLIENT = ("client", "cluster")  # the more selective key first: sorts compare it first
 
 # Verbs of the protocol.
 IN, OUT, UPDATE = "IN", "OUT", "UPDATE"

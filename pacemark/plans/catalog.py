@@ -12,7 +12,17 @@ from pyspark.sql import functions as F
 
 from pacemark.functions import periods
 from pacemark.functions.text import run_fields, seconds_after_equals
-from pacemark.operators import history, kvtree, lists, logs, policy, runs, telemetry, workloads
+from pacemark.operators import (
+    history,
+    kvtree,
+    lists,
+    logs,
+    policy,
+    runs,
+    snapshot,
+    telemetry,
+    workloads,
+)
 from pacemark.plans import bindings as b
 from pacemark.session import cut
 from pacemark.sources.text import EXEC_MARK, last_token_values
@@ -177,6 +187,13 @@ def tbf_carry_accumulate(spark, sf):
     return out.select("event_id", "cluster", "value")
 
 
+@query
+def tbf_carry_offline(spark, sf):
+    """Stored times of zero count too, as with the tool that closes a stopped supervisor."""
+    out = history.tbf_carry_last(b.lifecycle(spark, sf), keep_nonpositive=True)
+    return out.select("event_id", "cluster", "value")
+
+
 @query
 def restore_seed(spark, sf):
     """Half of the days form a stored ring; the history goes on from it."""
@@ -192,6 +209,27 @@ def restore_seed(spark, sf):
     return out.select("event_id", "cluster", _r(F.col("avg_value")).alias("avg_value"))
 
 
+@query
+def restore_snapshot(spark, sf):
+    """The same through snapshot documents: rings to nodes, nested, flattened and read back."""
+    middle = int(1.705276800e15)
+    rows = b.costs(spark, sf).withColumn("series", F.lit("checkpoint"))
+    rings = history.ring_current(rows.where(F.col("us") < middle), 20)
+    newest = rings.groupBy("cluster", "series").agg(
+        F.max_by("slot", F.struct("us", "event_id")).alias("pointer")
+    )
+    stored = rings.join(newest, ["cluster", "series"])
+    periods_now = newest.select("cluster", F.lit(periods.PERIOD_START).alias("period"))
+    leaves = kvtree.with_inner_nodes(snapshot.to_nodes(stored, periods_now), ["cluster"])
+    nodes = cut(kvtree.flatten(cut(kvtree.nest(leaves, ["cluster"])), ["cluster"]))
+    going_on = history.restore(
+        snapshot.rings_of(nodes), rows.where(F.col("us") >= middle), 20
+    )
+    means = history.history_avg(going_on, 20).where(~F.col("restored"))
+    out = means.join(snapshot.clusters_of(nodes), "cluster")
+    return out.select("event_id", "cluster", "period", _r(F.col("avg_value")).alias("avg_value"))
+
+
 @query
 def run_cost_snapshot(spark, sf):
     """Mean cost as known at the end of each run (a purchase)."""
@@ -372,6 +410,28 @@ def phase_compare(spark, sf):
     return out.select("benchmark", "rep", *[_r(F.col(c), 4).alias(c) for c in columns])
 
 
+@query
+def checkpoint_compare(spark, sf):
+    """Runs with a checkpoint period of an hour against those with ten seconds."""
+    rows = b.runs(spark, sf).withColumn(
+        "checkpoint_s", F.when(F.col("l_orderkey") % 2 == 0, 3600).otherwise(10)
+    )
+    out = runs.phase_comparison(rows, ["benchmark"], "seconds", (3600, 10), "checkpoint_s")
+    columns = ("mean_3600", "mean_10", "ratio")
+    return out.select("benchmark", *[_r(F.col(c), 4).alias(c) for c in columns])
+
+
+@query
+def io_consistency(spark, sf):
+    """Reports of two equal transfers (orders with two items) checked against their own rates."""
+    rows = b.runs(spark, sf).withColumn("mb", F.lit(256.0))
+    pairs = runs.io_summary(rows, ["l_orderkey"], "mb", "seconds").where(F.col("n_tasks") == 2)
+    out = runs.io_consistent(pairs)
+    return out.select(
+        "l_orderkey", _r(F.col("throughput"), 4).alias("throughput"), _int("consistent")
+    )
+
+
 @query
 def io_summary(spark, sf):
     out = runs.io_summary(b.runs(spark, sf), ["benchmark", "phase"], "mb", "seconds")

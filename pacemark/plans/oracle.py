@@ -187,6 +187,15 @@ ORACLE: dict[str, str] = {
         then t - pt else 0 end ran from lg),
       y as (select *, cast(sum(ran) over (partition by "cluster", g) as bigint) s from z)
       select event_id, "cluster", s "value" from y where verb = 'FAIL'""",
+    "tbf_carry_offline": f"""with {LIFE}, z as (select *, case when verb = 'STOP' then t - tslf end el
+        from lg),
+      y as (select *, coalesce(last_value(el ignore nulls) over (partition by "cluster", g order by k
+        rows between unbounded preceding and current row), 0) tebi from z)
+      select event_id, "cluster", t - tslf + tebi "value" from y where verb = 'FAIL'""",
+    "restore_snapshot": f"""with {EV}, z as (select event_id, us, "cluster", avg(trunc(value * 1000)) over
+        (partition by "cluster" order by us, event_id rows between 19 preceding and current row) a
+        from ev where event_type = 'click')
+      select event_id, "cluster", 3600 period, round(a, 6) avg_value from z where us >= 1705276800000000""",
     "restore_seed": f"""with {EV}, z as (select event_id, us, "cluster", avg(trunc(value * 1000)) over
         (partition by "cluster" order by us, event_id rows between 49 preceding and current row) a
         from ev where event_type = 'click')
@@ -269,6 +278,14 @@ ORACLE: dict[str, str] = {
         avg(case when phase = 'AF' then seconds end) a, avg(case when phase = 'DF' then seconds end) d
         from r group by 1, 2)
       select benchmark, rep, round(a, 4) mean_af, round(d, 4) mean_df, round(d / a, 4) ratio from s""",
+    "checkpoint_compare": f"""with {RUNS}, s as (select benchmark,
+        avg(case when l_orderkey % 2 = 0 then seconds end) a,
+        avg(case when l_orderkey % 2 <> 0 then seconds end) d from r group by 1)
+      select benchmark, round(a, 4) mean_3600, round(d, 4) mean_10, round(d / a, 4) ratio from s""",
+    "io_consistency": f"""with {RUNS}, s as (select l_orderkey, 512.0 / sum(seconds) t,
+        avg(256.0 / seconds) a, stddev_pop(256.0 / seconds) s from r group by 1 having count(*) = 2)
+      select l_orderkey, round(t, 4) throughput,
+        cast(abs((a * a - s * s) / a - t) / t <= 1e-6 as int) consistent from s""",
     "io_summary": f"""with {RUNS} select benchmark, phase, count(*) n_tasks, round(sum(mb), 2) total_mb,
       round(sum(mb) / sum(seconds), 2) throughput, round(avg(mb / seconds), 2) avg_io,
       round(stddev_pop(mb / seconds), 2) io_std from r group by 1, 2""",
