@@ -22,7 +22,8 @@ def flatten(
     """One row per node: ``depth``, ``path``, ``name``, ``parent``, ``value``.
 
     The trees are taken apart level by level as VARIANT values. The number of levels is the deepest
-    nesting of braces outside of strings; only that number reaches the driver.
+    nesting of braces outside of strings; only that number reaches the driver. Documents that are no
+    JSON have no nodes.
     """
     names = list(keys)
     bare = F.regexp_replace(text, r'"(?:[^"\\]|\\.)*"', "")
@@ -48,7 +49,7 @@ def flatten(
             ),
         )
 
-    flat = documents.select(*names, F.inline(children(F.parse_json(text), 0)))
+    flat = documents.select(*names, F.inline(children(F.try_parse_json(text), 0)))
     itself = F.array(F.struct("name", "node", "depth"))
     for depth in range(1, levels):
         # nodes of the level before make room for their children, all others pass
