@@ -10,6 +10,7 @@ RECORD = (
     r"^(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d,\d{3}) \[myid:(\d*)\] - (\w+)\s+"
     r"\[(.*?)(?::([A-Za-z]\w*)@(\d+))?\] - (.*)$"
 )
+SEPARATOR = "\u0001"
 RUN_LABEL = r"(TeraGen|TeraSort|TestDFSIOe|TestDFSIO|Spark HiBench)"
 RUN_PHASE = r"[(\[](AF|DF)[)\]]"
 RUN_CHECKPOINT = r"TestDFSIO-(\d+)"
@@ -55,16 +56,26 @@ def run_fields(line: Column) -> dict[str, Column]:
 
 
 def record_fields(line: Column) -> dict[str, Column]:
-    """Fields of a log record; all NULL for a continuation line."""
-    stamp = _found(line, RECORD, 1)
+    """Fields of a log record; all NULL for a continuation line.
+
+    One replacement puts a mark between the groups, so the line is not matched anew for every field.
+    """
+    groups = SEPARATOR.join(f"${i}" for i in range(1, 8))
+    parts = F.when(
+        line.rlike(RECORD), F.split(F.regexp_replace(line, RECORD, groups), SEPARATOR, 7)
+    )
+
+    def given(i: int) -> Column:
+        return F.nullif(parts[i], F.lit(""))
+
     return {
-        "ts": F.try_to_timestamp(stamp, F.lit("yyyy-MM-dd HH:mm:ss,SSS")),
-        "myid": F.when(stamp.isNotNull(), F.regexp_extract(line, RECORD, 2)),
-        "level": _found(line, RECORD, 3),
-        "thread": F.when(stamp.isNotNull(), F.regexp_extract(line, RECORD, 4)),
-        "class": _found(line, RECORD, 5),
-        "src_line": _found(line, RECORD, 6).cast("int"),
-        "message": F.when(stamp.isNotNull(), F.regexp_extract(line, RECORD, 7)),
+        "ts": F.try_to_timestamp(parts[0], F.lit("yyyy-MM-dd HH:mm:ss,SSS")),
+        "myid": parts[1],
+        "level": parts[2],
+        "thread": parts[3],
+        "class": given(4),
+        "src_line": given(5).cast("int"),
+        "message": parts[6],
     }
 
 

@@ -65,7 +65,14 @@ def batch_capacity(df: DataFrame, size: int, batches: int, keys: Sequence[str] =
     )
 
 
-def nth_per_group(df: DataFrame, n: int, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The ``n``-th row of each group; the limit is applied before the shuffle as well."""
+def nth_per_group(
+    df: DataFrame, n: int | Sequence[int], keys: Sequence[str], order: Sequence[str]
+) -> DataFrame:
+    """The ``n``-th row of each group, or several of them, with their number in ``nth``.
+
+    A group sends only as many rows as needed through the shuffle.
+    """
+    wanted = [n] if isinstance(n, int) else list(n)
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == n).drop("_rn")
+    numbered = df.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= max(wanted))
+    return numbered.where(F.col("nth").isin(wanted))

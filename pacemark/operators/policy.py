@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pacemark.functions.periods import (
@@ -22,7 +22,7 @@ from pacemark.functions.periods import (
 )
 from pacemark.operators.history import history_avg
 from pacemark.operators.hysteresis import announce
-from pacemark.operators.ordered import SLICE, last_known, previous, row_number, scan
+from pacemark.operators.ordered import SLICE, Slices, last_known, previous, row_number, scan
 from pacemark.operators.telemetry import CLUSTER, ORDER, UPDATE, io_total
 
 COST, MTBF = "checkpoint", "mtbf"
@@ -123,24 +123,43 @@ def io_candidates(messages: DataFrame, slice_col: str = SLICE) -> DataFrame:
     return io_period(totals.where((F.col("verb") == UPDATE) & F.col("accepted")))
 
 
-def step_period_join(totals: DataFrame, steps: DataFrame, default: int) -> DataFrame:
+def step_period_join(
+    totals: DataFrame,
+    steps: DataFrame,
+    default: int,
+    order: Sequence[str] = ORDER,
+    chain: int = 64,
+) -> DataFrame:
     """`io_period` for a step table given as rows ``threshold``, ``period``.
 
-    The table turns into intervals that cover each total at most once, so the join adds no rows.
+    Up to ``chain`` steps become one chain of comparisons. More of them are merged with the totals in
+    one descending order, where each total takes the period of the step before it.
     """
-    lower = F.lag("threshold").over(Window.orderBy("threshold"))  # a step table has a few rows
-    spans = steps.select("threshold", "period", lower.alias("_above"))
-    inside = (
-        (F.col("total") >= 0)
-        & (F.col("total") <= F.col("threshold"))
-        & (F.col("_above").isNull() | (F.col("total") > F.col("_above")))
+    few = steps.select("threshold", "period").limit(chain + 1).collect()
+    if len(few) <= chain:
+        return io_period(totals, [tuple(r) for r in few], default)
+    marked = totals.withColumns(
+        {
+            "_down": (-F.col("total")).cast("bigint"),
+            "_side": F.lit(1),
+            "period": F.lit(None).cast("int"),
+        }
     )
-    # no broadcast hint: Spark broadcasts the steps on their measured size
-    return (
-        totals.join(spans, inside, "left")
-        .withColumn("period", F.coalesce("period", F.lit(default)))
-        .drop("threshold", "_above")
+    merged = marked.unionByName(
+        steps.select(
+            (-F.col("threshold")).cast("bigint").alias("_down"),
+            F.lit(0).alias("_side"),
+            F.col("period").cast("int").alias("period"),
+            *[F.lit(0).cast(totals.schema[c].dataType).alias(c) for c in order],
+        ),
+        allowMissingColumns=True,
     )
+    along = ["_down", "_side", *order]
+    sliced = Slices.plan(merged, ("_down", order[-1])).assign(merged, "_piece")
+    out = scan(sliced, [], along, {"_known": last_known(F.col("period"))}, "_piece")
+    period = F.when(F.col("total") >= 0, F.col("_known"))
+    found = out.where(F.col("_side") == 1).withColumn("period", F.coalesce(period, F.lit(default)))
+    return found.select(*totals.columns, "period")
 
 
 def dead_band(

@@ -633,10 +633,10 @@ def seq_ids(spark, sf):
 def nth_per_group(spark, sf):
     """First and second order of each customer: main and secondary host of a job."""
     rows = b.table(spark, sf, "orders").select("o_custkey", "o_orderdate", "o_orderkey")
-    order = ["o_orderdate", "o_orderkey"]
-    first = lists.nth_per_group(rows, 1, ["o_custkey"], order)
-    second = lists.nth_per_group(rows, 2, ["o_custkey"], order)
-    return first.select("o_custkey", F.col("o_orderkey").alias("main")).join(
-        second.select("o_custkey", F.col("o_orderkey").alias("secondary")), "o_custkey", "left"
+    two = lists.nth_per_group(rows, [1, 2], ["o_custkey"], ["o_orderdate", "o_orderkey"])
+    host = F.col("o_orderkey")
+    return two.groupBy("o_custkey").agg(
+        F.max(F.when(F.col("nth") == 1, host)).alias("main"),
+        F.max(F.when(F.col("nth") == 2, host)).alias("secondary"),
     )
 

@@ -195,7 +195,8 @@ ORACLE: dict[str, str] = {
     "restore_snapshot": f"""with {EV}, z as (select event_id, us, "cluster", avg(trunc(value * 1000)) over
         (partition by "cluster" order by us, event_id rows between 19 preceding and current row) a
         from ev where event_type = 'click')
-      select event_id, "cluster", 3600 period, round(a, 6) avg_value from z where us >= 1705276800000000""",
+      select event_id, "cluster", cast(3600 as bigint) period, round(a, 6) avg_value from z
+      where us >= 1705276800000000""",
     "restore_seed": f"""with {EV}, z as (select event_id, us, "cluster", avg(trunc(value * 1000)) over
         (partition by "cluster" order by us, event_id rows between 49 preceding and current row) a
         from ev where event_type = 'click')
@@ -247,7 +248,7 @@ ORACLE: dict[str, str] = {
     + """, em as (select "cluster", count(*) emits, round(avg(lst), 4) mean_period from f where emit group by 1),
       wa as (select "cluster", count(*) n_candidates, round(avg(c / period + period / (2 * m)), 4) mean_waste
         from cd group by 1)
-      select wa."cluster" // 10 "cluster", wa."cluster" % 10 policy, n_candidates, emits, mean_period,
+      select wa."cluster" // 10 "cluster", cast(wa."cluster" % 10 as int) policy, n_candidates, emits, mean_period,
         mean_waste from wa left join em on em."cluster" = wa."cluster" """,
     "run_summary": f"""with {RUNS} select benchmark, phase, rep, count(*) n, round(avg(seconds), 4) mean,
       round(stddev_pop(seconds), 4) pstdev from r group by 1, 2, 3""",
@@ -295,13 +296,13 @@ ORACLE: dict[str, str] = {
       round(arg_max(cnt, doc_id) / count(*), 6) mean_cnt from pc""",
     "token_mean": f"""with {EV} select count(*) n_lines,
       round(avg(cast(floor(value) as bigint)), 4) mean_token from ev where event_type <> 'view'""",
-    "clean_lines": f"""with {LINES} select doc_id, pos, "text" from ln where not contains("text", 'the ')
+    "clean_lines": f"""with {LINES} select doc_id, cast(pos as int) pos, "text" from ln where not contains("text", 'the ')
       and not contains("text", 'License') and not contains("text", '@')""",
     "log_records": f"""with {EV} select "cluster", row_number() over (partition by "cluster"
         order by us, event_id) record_no, us // 1000 ms, cast("cluster" as varchar) myid,
       case when event_type = 'error' then 'WARN' else 'INFO' end "level", 'main' thread,
       upper(substr(event_type, 1, 1)) || substr(event_type, 2) "class", cast(client as int) src_line,
-      'event ' || event_id message, case when event_type = 'error' then 2 else 0 end n_more from ev""",
+      'event ' || event_id message, cast(case when event_type = 'error' then 2 else 0 end as bigint) n_more from ev""",
     "severity_rollup": f"""with {EV} select "cluster", event_type, t // 86400 * 86400 bucket, count(*) n
       from ev group by 1, 2, 3""",
     "session_lifetimes": f"""with {EV}, s as (select client,

@@ -68,6 +68,9 @@ def test_steps(spark):
     table = spark.createDataFrame(periods.IO_STEPS, "threshold int, period int")
     joined = policy.step_period_join(df, table, periods.IO_STEP_DEFAULT)
     assert dict(values(joined, "total", "period")) == dict(zip(totals, want))
+    rows = df.select("total", F.monotonically_increasing_id().alias("us")).withColumn("event_id", F.col("us"))
+    merged = policy.step_period_join(rows, table, periods.IO_STEP_DEFAULT, chain=3)
+    assert dict(values(merged, "total", "period")) == dict(zip(totals, want))
 
 
 def test_counter_rate(spark):
