@@ -24,6 +24,7 @@ from pacemark.operators.history import history_avg
 from pacemark.operators.hysteresis import announce
 from pacemark.operators.ordered import SLICE, Slices, last_known, previous, row_number, scan
 from pacemark.operators.telemetry import CLUSTER, ORDER, UPDATE, io_total
+from pacemark.session import cut
 
 COST, MTBF = "checkpoint", "mtbf"
 
@@ -220,7 +221,7 @@ def compare_policies(
 ) -> DataFrame:
     """Announcements, mean announced period and mean first-order waste per cluster and policy."""
     keys = [*cluster, "policy"]
-    rows = candidates(policy_rows(means), F.col("policy"))
+    rows = candidates(policy_rows(cut(means)), F.col("policy"))
     said = dead_band(rows, start, threshold, keys, order, slice_col)
     emits = said.groupBy(*keys).agg(
         F.count("*").alias("emits"), F.avg("period").alias("mean_period")

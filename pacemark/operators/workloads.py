@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pacemark.operators.ordered import SLICE, row_number, scan
-from pacemark.session import cut, cut_in_layout, runs_in_tasks
+from pacemark.session import cut, cut_in_layout, runs_in_tasks, settings
 
 
 runs_in_tasks(__name__)
@@ -133,7 +133,7 @@ def iterate(
     alert: Callable[[], bool] = lambda: False,
     store: Callable[[DataFrame], DataFrame] = cut,
 ) -> DataFrame:
-    """Apply ``step(state, i)`` repeatedly, checkpointing with ``store`` as the cadence says.
+    """Apply ``step(state, i)`` repeatedly, checkpointing with ``store`` as the cadence says and at the end.
 
     ``alert`` is asked after each iteration and forces a checkpoint, e.g. on low memory.
     """
@@ -141,7 +141,7 @@ def iterate(
     for i in range(iterations):
         state = step(state, i)
         since += 1
-        if since >= planned or alert():
+        if since >= planned or i == iterations - 1 or alert():
             state = store(state)
             cadence.observe(since, time.monotonic() - began)
             since, planned, began = 0, cadence.next(), time.monotonic()
@@ -149,6 +149,8 @@ def iterate(
 
 
 BROADCAST_ROWS = 1_000_000
+EDGES_PER_PARTITION = 200_000
+MAX_PARTITIONS = 20_000
 
 
 def pagerank(
@@ -164,7 +166,17 @@ def pagerank(
     and by node, so an iteration shuffles nothing but partial sums. If a source has more than
     ``edges_per_part`` edges, edges are divided further and ranks are copied to the parts.
     """
+    spark = edges.sparkSession
     given = cut(edges.select("src", "dst"))
+    spread = min(MAX_PARTITIONS, 1 + given.count() // EDGES_PER_PARTITION)
+    pace = cadence or Cadence(mtbf_s=3600.0)
+    with settings(spark, shuffle__partitions=spread):
+        return _ranks(given, iterations, damping, pace, edges_per_part)
+
+
+def _ranks(
+    given: DataFrame, iterations: int, damping: float, pace: Cadence, edges_per_part: int
+) -> DataFrame:
     degrees = given.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("deg"))
     targets = given.select(F.col("dst").alias("node")).distinct()
     nodes = cut_in_layout(cut(degrees.join(targets, "node", "full")), ["node"])
@@ -205,7 +217,6 @@ def pagerank(
         return nodes.join(received, "node", "left").select("node", "deg", rank.alias("rank"))
 
     start = nodes.withColumn("rank", F.lit(1.0 / n) if n else F.lit(0.0))
-    pace = cadence or Cadence(mtbf_s=3600.0)
     ranks = iterate(
         start, step, iterations, pace, store=lambda df: cut_in_layout(df, ["node"])
     )

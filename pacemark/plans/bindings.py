@@ -178,6 +178,7 @@ def supplier_paths(spark: SparkSession, sf: str) -> DataFrame:
         .select(
             F.floor(F.col("s_suppkey") / SUPPLIERS_PER_SNAPSHOT).alias("snapshot"),
             "s_suppkey",
+            "s_acctbal",
             path.alias("path"),
             F.col("s_suppkey").cast("string").alias("value"),
         )
@@ -188,20 +189,25 @@ def snapshot_nodes(spark: SparkSession, sf: str) -> DataFrame:
     return with_inner_nodes(supplier_paths(spark, sf))
 
 
+def earlier_leaves(spark: SparkSession, sf: str) -> DataFrame:
+    """The leaves of a first snapshot: suppliers of the highest balances are not there yet."""
+    return supplier_paths(spark, sf).where(F.col("s_acctbal") < 8000)
+
+
 def later_leaves(spark: SparkSession, sf: str) -> DataFrame:
-    """The leaves of a second snapshot: some suppliers gone, some with another value."""
-    rows = supplier_paths(spark, sf).where(F.col("s_suppkey") % 5 != 0)
-    changed = F.when(F.col("s_suppkey") % 3 == 0, F.concat("value", F.lit("x")))
+    """The leaves of a second snapshot: suppliers in debt are gone, rich ones have another value."""
+    rows = supplier_paths(spark, sf).where(F.col("s_acctbal") >= 0)
+    changed = F.when(F.col("s_acctbal") >= 5000, F.concat("value", F.lit("x")))
     return rows.withColumn("value", F.coalesce(changed, "value"))
 
 
 def trade_edges(spark: SparkSession, sf: str) -> DataFrame:
-    """Distinct edges between customer groups and suppliers, in both directions."""
+    """Distinct edges between customers and suppliers (negative numbers), in both directions."""
     orders = table(spark, sf, "orders").select(
-        F.col("o_orderkey").alias("l_orderkey"), (F.col("o_custkey") % 500).alias("src")
+        F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("src")
     )
     lines = table(spark, sf, "lineitem").select(
-        "l_orderkey", (F.col("l_suppkey") + 1000).alias("dst")
+        "l_orderkey", (-F.col("l_suppkey") - 1).alias("dst")
     )
     one_way = orders.join(lines, "l_orderkey").select("src", "dst").distinct()
     both = F.explode(

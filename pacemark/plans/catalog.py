@@ -548,13 +548,14 @@ def kv_flatten(spark, sf):
 
 @query
 def kv_upsert(spark, sf):
-    before = b.supplier_paths(spark, sf).where(F.col("s_suppkey") % 7 != 0)
-    return kvtree.upsert(before, b.later_leaves(spark, sf), ["snapshot", "path"])
+    keys = ["snapshot", "path"]
+    return kvtree.upsert(b.earlier_leaves(spark, sf), b.later_leaves(spark, sf), keys)
 
 
 @query
 def kv_diff(spark, sf):
-    return kvtree.diff(b.supplier_paths(spark, sf), b.later_leaves(spark, sf), ["snapshot", "path"])
+    keys = ["snapshot", "path"]
+    return kvtree.diff(b.earlier_leaves(spark, sf), b.later_leaves(spark, sf), keys)
 
 
 # --- workloads and lists ----------------------------------------------------------------------

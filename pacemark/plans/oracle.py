@@ -92,11 +92,12 @@ LINES = """ln as (select doc_id, generate_subscripts(l, 1) - 1 pos, unnest(l) "t
 COUNTS = """pc as (select doc_id, len(list_filter(string_split("text", chr(10)),
   lambda x: contains(x, 'the '))) cnt from documents)"""
 
-PATHS = """sp as (select s_suppkey // 50 "snapshot", s_suppkey, r_name r, n_name n, trim(s_name) s,
+PATHS = """sp as (select s_suppkey // 50 "snapshot", s_acctbal, r_name r, n_name n, trim(s_name) s,
   '/' || r_name || '/' || n_name || '/' || trim(s_name) || '/' path, cast(s_suppkey as varchar) "value"
   from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey),
- later as (select "snapshot", path, case when s_suppkey % 3 = 0 then "value" || 'x' else "value" end
-   "value" from sp where s_suppkey % 5 <> 0)"""
+ later as (select "snapshot", path, case when s_acctbal >= 5000 then "value" || 'x' else "value" end
+   "value" from sp where s_acctbal >= 0),
+ earlier as (select "snapshot", path, "value" from sp where s_acctbal < 8000)"""
 
 
 def _formula(expression: str) -> str:
@@ -322,19 +323,19 @@ ORACLE: dict[str, str] = {
       union all select distinct "snapshot", 2, '/' || r || '/' || n || '/', n, '/' || r || '/', '' from sp
       union all select distinct "snapshot", 1, '/' || r || '/', r, '/', '' from sp
       union all select distinct "snapshot", 0, '/', '/', null, '' from sp""",
-    "kv_upsert": f"""with {PATHS}, a as (select * from sp where s_suppkey % 7 <> 0)
+    "kv_upsert": f"""with {PATHS}
       select coalesce(b."snapshot", a."snapshot") "snapshot", coalesce(b.path, a.path) path,
         coalesce(b."value", a."value") "value", case when b.path is null then 'Unchanged'
         when a.path is null then 'Created' else 'Modified' end action
-      from a full join later b on a."snapshot" = b."snapshot" and a.path = b.path""",
+      from earlier a full join later b on a."snapshot" = b."snapshot" and a.path = b.path""",
     "kv_diff": f"""with {PATHS} select coalesce(b."snapshot", a."snapshot") "snapshot",
         coalesce(b.path, a.path) path, a."value" old_value, b."value" new_value,
         case when a.path is null then 'Created' when b.path is null then 'Removed'
           when a."value" = b."value" then 'Unchanged' else 'Modified' end change
-      from sp a full join later b on a."snapshot" = b."snapshot" and a.path = b.path""",
+      from earlier a full join later b on a."snapshot" = b."snapshot" and a.path = b.path""",
     "wordcount": """select word, count(*) cnt from (select unnest(regexp_split_to_array("text",
       '[ \\t\\r\\n]+')) word from documents) x where word <> '' group by 1""",
-    "pagerank": f"""with w as (select distinct o_custkey % 500 src, l_suppkey + 1000 dst from orders
+    "pagerank": f"""with w as (select distinct o_custkey src, -l_suppkey - 1 dst from orders
         join lineitem on l_orderkey = o_orderkey),
       e as (select src, dst from w union all select dst, src from w),
       dg as (select src, count(*) deg from e group by 1),

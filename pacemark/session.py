@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import sys
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -58,17 +60,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def settings(spark: SparkSession, **values: object) -> Iterator[None]:
+    """Session settings for a while; double underscores in the names stand for dots."""
+    names = {"spark.sql." + k.replace("__", "."): str(v) for k, v in values.items()}
+    before = {name: spark.conf.get(name) for name in names}
+    try:
+        for name, value in names.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def cut_in_layout(df: DataFrame, keys: list[str]) -> DataFrame:
     """`cut`, hash-partitioned and sorted by ``keys`` in a way that later joins and groupings know.
 
     A checkpoint keeps its partitioning only if it was written without adaptive planning; so that is
-    switched off for this one write, which has nothing to adapt.
+    switched off for this one write.
     """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
+    with settings(spark, adaptive__enabled="false"):
         return cut(df.repartition(n, *keys).sortWithinPartitions(*keys))
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
