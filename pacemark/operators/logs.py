@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pacemark.functions.text import contains_any, record_fields, token_from_end
-from pacemark.operators.ordered import SLICE, last_known, running_sum, scan
+from pacemark.operators.ordered import SLICE, last_known, row_number, running_sum, scan
 
 # Texts looked for in logs, and texts whose lines are dropped.
 CHECKPOINT_DONE = "Roll Edit Log"
@@ -68,13 +68,14 @@ def number_records(
     text: str = "text",
     slice_col: str | None = SLICE,
 ) -> DataFrame:
-    """Parse lines and add ``record_no``, the record of the file each line belongs to.
+    """Parse lines and add ``record_no``, the record of the file each line belongs to, and ``line_no``.
 
     A line that is no record continues the one before it. Lines before the first record have number 0.
     """
     parsed = lines.withColumns(record_fields(F.col(text)))
     starts = F.col("level").isNotNull().cast("bigint")
-    return scan(parsed, file, order, {"record_no": running_sum(starts)}, slice_col)
+    counted = {"record_no": running_sum(starts), "line_no": row_number()}
+    return scan(parsed, file, order, counted, slice_col)
 
 
 def fold_records(numbered: DataFrame, file: Sequence[str] = ("file",)) -> DataFrame:
@@ -96,20 +97,26 @@ def fold_records(numbered: DataFrame, file: Sequence[str] = ("file",)) -> DataFr
 
 def record_texts(
     numbered: DataFrame,
-    order: Sequence[str],
     file: Sequence[str] = ("file",),
     text: str = "text",
     separator: str = "\n",
+    lines_per_piece: int = 1000,
 ) -> DataFrame:
-    """Whole text of each record that has continuation lines; one record must fit one string."""
+    """Text of each record with its continuation lines, in pieces of at most ``lines_per_piece`` lines.
+
+    Nearly all records are one ``piece``. A longer one has several, so none is ever gathered whole.
+    """
     keys = [*file, "record_no"]
-    long = numbered.where(F.col("level").isNull() & (F.col("record_no") > 0)).select(*keys).distinct()
-    line = F.struct(*order, F.col(text).alias("_x"))
+    begins = numbered.groupBy(*keys).agg(F.min("line_no").alias("_begin"))
+    line = F.struct("line_no", F.col(text).alias("_x"))
+    piece = F.floor((F.col("line_no") - F.col("_begin")) / lines_per_piece)
     return (
-        numbered.join(long, keys, "left_semi")
-        .groupBy(*keys)
+        numbered.join(begins, keys)
+        .groupBy(*keys, piece.alias("piece"))
         .agg(F.sort_array(F.collect_list(line)).alias("_l"))
-        .select(*keys, F.array_join(F.transform("_l", lambda x: x["_x"]), separator).alias("text"))
+        .select(
+            *keys, "piece", F.array_join(F.transform("_l", lambda x: x["_x"]), separator).alias("text")
+        )
     )
 
 

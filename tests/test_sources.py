@@ -96,7 +96,8 @@ def test_records_in_a_split_file(spark, tmp_path):
         assert [r.text for r in numbered] == rows
         parsed = logs.number_records(df, text.LINE_ORDER, slice_col=text.LINE_SLICE)
         folded = logs.fold_records(parsed).orderBy("record_no").collect()
-        texts = logs.record_texts(parsed, ["block", "line_id"]).orderBy("record_no").collect()
+        texts = logs.record_texts(parsed).orderBy("record_no", "piece").collect()
+        pieces = logs.record_texts(parsed, lines_per_piece=3).orderBy("record_no", "piece").collect()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
         spark.conf.unset("spark.sql.files.openCostInBytes")
@@ -104,7 +105,9 @@ def test_records_in_a_split_file(spark, tmp_path):
         (i + 1, 3 if i % 5 == 0 else 0) for i in range(50)
     ]
     assert folded[1].level == "WARN" and folded[2].src_line == 1 and folded[2]["class"] == "Some"
-    assert len(texts) == 10 and texts[0].text.endswith("\tat line 0.0\n\tat line 0.1\n\tat line 0.2")
+    assert "\n".join(r.text for r in texts) == "\n".join(rows) == "\n".join(r.text for r in pieces)
+    assert len(texts) == 51 and len(pieces) == 61
+    assert texts[1].text.endswith("\tat line 0.0\n\tat line 0.1\n\tat line 0.2")
 
 
 def test_sessions(spark):
