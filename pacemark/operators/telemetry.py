@@ -68,19 +68,22 @@ def roster(
 
     ``IN`` registers, ``OUT`` removes. ``UPDATE`` and ``OUT`` of an unregistered client are rejected.
     """
+    before = {"_before": last_known(_entry(), before=True)}
+    return _with_roster(scan(df, keys, order, before, slice_col)).drop("_before", "_was_live")
+
+
+def _entry() -> Column:
+    """The verb where it registers or removes the client."""
+    return F.when(F.col("verb").isin(IN, OUT), F.col("verb"))
+
+
+def _with_roster(df: DataFrame) -> DataFrame:
+    """Roster columns from ``_before``, the last such verb before the row."""
     verb = F.col("verb")
-    entry = F.when(verb.isin(IN, OUT), verb)
-    out = scan(
-        df,
-        keys,
-        order,
-        {"_now": last_known(entry), "_before": last_known(entry, before=True)},
-        slice_col,
-    )
-    live = F.coalesce(F.col("_now") == IN, F.lit(False))
+    live = F.coalesce(F.coalesce(_entry(), F.col("_before")) == IN, F.lit(False))
     was_live = F.coalesce(F.col("_before") == IN, F.lit(False))
     accepted = F.when(verb == IN, True).when(verb == OUT, was_live).otherwise(live)
-    return out.withColumns({"live": live, "accepted": accepted}).drop("_now", "_before")
+    return df.withColumns({"live": live, "accepted": accepted, "_was_live": was_live})
 
 
 def client_latest(
@@ -91,7 +94,7 @@ def client_latest(
 ) -> DataFrame:
     """Latest value of each client that is still registered; one aggregation, no window."""
     verb, at = F.col("verb"), F.struct(*order)
-    entry = F.max_by(verb, F.when(verb.isin(IN, OUT), at))
+    entry = F.max_by(verb, F.when(_entry().isNotNull(), at))
     # after the last IN every UPDATE counts, and IN itself sets zero
     last = F.max_by(F.when(verb == UPDATE, F.col(value)).otherwise(0), at)
     return (
@@ -117,27 +120,21 @@ def io_total(
     running sum of these changes. Two shuffles: by client and by cluster, both divided into slices.
     """
     verb = F.col("verb")
-    entry = F.when(verb.isin(IN, OUT), verb)
-    rows = df.where(verb.isin(IN, OUT, UPDATE))
-    with_prior = scan(
-        rows,
+    own = F.struct(verb.alias("verb"), F.col(value).alias("v"))
+    rows = scan(
+        df.where(verb.isin(IN, OUT, UPDATE)),
         client,
         order,
-        {
-            "_now": last_known(entry),
-            "_before": last_known(entry, before=True),
-            "_prior": previous(F.struct(verb.alias("verb"), F.col(value).alias("v"))),
-        },
+        {"_before": last_known(_entry(), before=True), "_prior": previous(own)},
         slice_col,
     )
-    live = F.coalesce(F.col("_now") == IN, F.lit(False))
-    was_live = F.coalesce(F.col("_before") == IN, F.lit(False))
-    adds = F.when((verb == UPDATE) & live, F.col(value)).otherwise(0)
-    added = F.when((F.col("_prior.verb") == UPDATE) & was_live, F.col("_prior.v")).otherwise(0)
-    accepted = F.when(verb == IN, True).when(verb == OUT, was_live).otherwise(live)
-    changes = with_prior.withColumns(
-        {"live": live, "accepted": accepted, "_delta": (adds - F.coalesce(added, F.lit(0)))}
-    ).drop("_now", "_before", "_prior")
+    adds = F.when((verb == UPDATE) & F.col("live"), F.col(value)).otherwise(0)
+    added = F.when((F.col("_prior.verb") == UPDATE) & F.col("_was_live"), F.col("_prior.v"))
+    changes = (
+        _with_roster(rows)
+        .withColumn("_delta", adds - F.coalesce(added, F.lit(0)))
+        .drop("_before", "_prior", "_was_live")
+    )
     return scan(changes, cluster, order, {"total": running_sum(F.col("_delta"))}, slice_col).drop(
         "_delta"
     )
