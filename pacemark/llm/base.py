@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -81,3 +81,23 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if total == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = total
+
+
+def numbered(df: DataFrame, *order: Column, name: str = "pos") -> DataFrame:
+    """Dense numbers from 0 along ``order``, over all rows, without gathering them in one task.
+
+    Rows are dealt by range, sorted and written; their places inside a part and the parts' sizes give the
+    number. One row per part, as many as the session has shuffle partitions, is sent to all tasks.
+    """
+    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = store(sorted_.withColumn("_at", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    begin = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_begin"))
+    return (
+        rows.withColumn("_part", part)
+        .join(F.broadcast(begin), "_part")
+        .withColumn(name, F.col("_begin") + place)
+        .drop("_part", "_begin", "_at")
+    )

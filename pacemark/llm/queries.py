@@ -8,9 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pacemark.llm import bpe, simhash, toxicity
+from pacemark.llm import bpe, mixing, secrets, simhash, toxicity, urls
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+URL_RULES = (
+    urls.site("allow", "com/"),
+    urls.site("block", "example.com/en/"),
+    urls.site("allow", "www.example.com/en/"),
+    urls.site("block", "net/es/"),
+    urls.site("block", "net/fr/"),
+)
+#: Patterns that judge URLs which no listed rule fits.
+URL_PATTERNS = (urls.glob("block", "spam-*"), urls.glob("block", "*.spam-*"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +31,31 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), (*URL_RULES, *URL_PATTERNS))
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.findings(docs, secrets.update(docs), ["doc_id"])
+    base = F.filter("spans", lambda s: s["place"] < len(secrets.BASE))
+    kinds = F.transform("spans", lambda s: s["kind"])
+    number = [
+        F.size(F.filter(kinds, F.lit(r.name).eqNullSafe)).cast("bigint").alias(f"n_{r.name}") for r in secrets.BASE
+    ]
+    return found.select(
+        "doc_id",
+        *number,
+        F.sha2(secrets.as_text(base).cast("binary"), 256).alias("base_sha256"),
+        secrets.as_text(F.col("spans")).alias("spans"),
+    )
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return groups.select(
@@ -42,8 +76,68 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
+    "op4_url_filter": op4_url_filter,
+    "op5_secrets": op5_secrets,
+    "op6_mixing": op6_mixing,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE: dict[str, str] = {}
+URL_SQL = """
+with cut as (
+  select page_id, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end as rest from pages
+), parts as (
+  select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz') as host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path
+  from cut
+), ruled as (
+  select *, '.' || host as dotted, case
+    when suffix(dotted, '.www.example.com') and starts_with(path, '/en/') then 'www.example.com/en/'
+    when suffix(dotted, '.example.com') and starts_with(path, '/en/') then 'example.com/en/'
+    when suffix(dotted, '.net') and starts_with(path, '/es/') then 'net/es/'
+    when suffix(dotted, '.net') and starts_with(path, '/fr/') then 'net/fr/'
+    when suffix(dotted, '.com') and starts_with(path, '/') then 'com/' end as rule,
+    case when rule is not null then null when contains(host || path, '.spam-') then '*.spam-*'
+         when starts_with(host || path, 'spam-') then 'spam-*' end as pattern
+  from parts
+)
+select page_id, host, path, rule, case when rule in ('www.example.com/en/', 'com/') then 'allow'
+  when rule is not null or pattern is not null then 'block' else 'allow' end as verdict, pattern
+from ruled
+"""
+
+
+def _spans_sql(name: str, place: int, rule: secrets.Rule) -> str:
+    p = rule.pattern.replace("'", "''")
+    return f"""{name} as (
+  select doc_id, list_filter(list_transform(range(1, len(m) + 1), lambda i: struct_pack(
+      a := coalesce(list_sum(list_transform(gaps[:i], lambda x: len(x))), 0)
+        + coalesce(list_sum(list_transform(m[:i - 1], lambda x: len(x))), 0), p := {place}, k := '{rule.name}',
+      b := coalesce(list_sum(list_transform(gaps[:i], lambda x: len(x))), 0)
+        + coalesce(list_sum(list_transform(m[:i], lambda x: len(x))), 0), n := len(held[i]))), lambda s: s.n >= {rule.least}) as s
+  from (select doc_id, regexp_extract_all(t, '{p}') as m, regexp_extract_all(t, '{p}', {rule.group}) as held,
+               string_split_regex(t, '{p}') as gaps from docs where regexp_matches(t, '{p}'))
+)"""
+
+
+def _secrets_sql() -> str:
+    parts = ",\n".join(_spans_sql(r.name, i, r) for i, r in enumerate(secrets.RULES))
+    every = " union all ".join(f"select doc_id, unnest(s) as s from {r.name}" for r in secrets.RULES)
+    line = "s.k || ':' || cast(s.a as bigint) || ':' || cast(s.b as bigint)"
+    order = "',' order by s.a, s.p"
+    counts = ", ".join(
+        f"count(*) filter (where s.k = '{r.name}') as n_{r.name}" for r in secrets.BASE
+    )
+    return f"""
+with docs as (select doc_id, coalesce(text, '') as t from documents),
+{parts},
+spans as ({every})
+select d.doc_id, {counts},
+  sha256(coalesce(string_agg({line}, {order}) filter (where s.p < {len(secrets.BASE)}), '')) as base_sha256,
+  coalesce(string_agg({line}, {order}) filter (where s is not null), '') as spans
+from (select doc_id from documents) d left join spans on d.doc_id = spans.doc_id group by d.doc_id
+"""
+
+
+ORACLE: dict[str, str] = {"op4_url_filter": URL_SQL, "op5_secrets": _secrets_sql()}
