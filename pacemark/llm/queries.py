@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pacemark.llm import bpe, mixing, secrets, simhash, toxicity, urls
+from pacemark.llm import bpe, embeddings, mixing, secrets, simhash, topk, toxicity, urls
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 URL_RULES = (
@@ -26,11 +26,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe.digests(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), (*URL_RULES, *URL_PATTERNS))
 
@@ -75,7 +83,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op2_bpe": op2_bpe,
+    "op3_topk": op3_topk,
     "op4_url_filter": op4_url_filter,
     "op5_secrets": op5_secrets,
     "op6_mixing": op6_mixing,
@@ -108,6 +118,38 @@ from ruled
 """
 
 
+TOPK_SQL = """
+with usable as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * x::double) as bigint)) as v
+  from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+  select q.vec_id as query_id, c.vec_id,
+         list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1]::bigint * z[2]::bigint))::bigint as score
+  from usable q join usable c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0
+)
+select query_id, rank::int as rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored)
+where rank <= 10
+"""
+
+EMBEDDING_SQL = """
+with recursive usable as (
+  select vec_id, label, embedding::double[] as v from embeddings
+  where label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links as (
+  select a.vec_id as a, b.vec_id as b from usable a join usable b on a.label = b.label and a.vec_id <> b.vec_id
+  where list_cosine_similarity(a.v, b.v) >= 0.93
+), reach(a, b) as (
+  select vec_id, vec_id from embeddings union select r.a, l.b from reach r join links l on r.b = l.a
+), least as (select a, min(b) as component_id from reach group by a)
+select vec_id, (select count(*) from links where a = vec_id) as n_links, component_id, vec_id = component_id as kept
+from embeddings join least on a = vec_id
+"""
+
+
 def _spans_sql(name: str, place: int, rule: secrets.Rule) -> str:
     p = rule.pattern.replace("'", "''")
     return f"""{name} as (
@@ -140,4 +182,9 @@ from (select doc_id from documents) d left join spans on d.doc_id = spans.doc_id
 """
 
 
-ORACLE: dict[str, str] = {"op4_url_filter": URL_SQL, "op5_secrets": _secrets_sql()}
+ORACLE: dict[str, str] = {
+    "op1_embedding_dedup": EMBEDDING_SQL,
+    "op3_topk": TOPK_SQL,
+    "op4_url_filter": URL_SQL,
+    "op5_secrets": _secrets_sql(),
+}
