@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pacemark.llm import bpe, embeddings, mixing, secrets, simhash, topk, toxicity, urls, windows
+from pacemark.llm import bpe, embeddings, mixing, passages, secrets, simhash, topk, toxicity, urls, windows
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 URL_RULES = (
@@ -68,6 +68,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.dedup(table(spark, sf_dir, "documents"), hashed=True)
 
 
+def op8_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.dedup(table(spark, sf_dir, "documents"), hashed=True)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return groups.select(
@@ -94,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secrets": op5_secrets,
     "op6_mixing": op6_mixing,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_passage_dedup": op8_passage_dedup,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
 }
