@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pacemark.llm import bpe, simhash, toxicity
+from pacemark.llm import bpe, mixing, secrets, simhash, toxicity
 from pacemark.llm.base import store
 
 
@@ -24,13 +24,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest id.
+    """One document of each near-duplicate group: the one with the smallest id."""
+    return simhash.one_of_each(docs)
 
-    Rows that repeat an id are copies of one another's id, so the smallest id stays once.
-    """
-    groups = simhash.near_duplicates(docs)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+
+def drop_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which the scan finds no secret."""
+    return secrets.without_secrets(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of each source up to its target, some more than once."""
+    return mixing.take(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,6 +46,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", drop_toxic),
     ("simhash", drop_near_copies),
+    ("secrets", drop_secrets),
+    ("mixing", mix_sources),
     ("bpe", pack),
 ]
 

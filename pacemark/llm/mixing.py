@@ -26,7 +26,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pacemark.llm.base import numbered, store
@@ -88,8 +88,12 @@ def allot(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int = SEED
     return taken
 
 
+def _row_hash(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), "doc_id", "source", "text")
+
+
 def sizes(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """``doc_id, source, size`` and a seeded hash ``h`` of id and text, for every row."""
+    """``doc_id, source, size`` and a seeded hash ``h`` of id, source and text, for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,7 +104,7 @@ def sizes(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
     rows = docs.select(
         F.col("text").cast("binary").alias("_words"), "doc_id", "source",
-        F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"),
+        _row_hash(seed).alias("h"),
     )
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     return rows.mapInArrow(
@@ -187,3 +191,24 @@ def mix(
     return rows.join(goal, F.col("source").eqNullSafe(F.col("_s"))).select(
         "doc_id", "h", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken")
     )
+
+
+def take(
+    docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST, seed: int = SEED
+) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it."""
+    times = mix(docs, weights, most, seed).groupBy("doc_id", "h").agg(
+        F.sum("times").alias("_times"), F.count("*").alias("_rows")
+    )
+    times = times.where("_times > 0").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "_times", "_rows")
+    rows = docs.withColumn("_row", _row_hash(seed))
+    rows = rows.join(times, (F.col("_row") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    # rows that are equal in id, source and text share their number
+    nth = F.row_number().over(Window.partitionBy("_row", "_id").orderBy(F.lit(1)))
+    own = F.floor(F.col("_times") / F.col("_rows")) + (nth <= F.col("_times") % F.col("_rows")).cast("int")
+    return (
+        rows.withColumn("_own", own)
+        .where("_own > 0")
+        .withColumn("_own", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_own"))))
+        .select(*docs.columns)
+    )

@@ -163,3 +163,11 @@ def as_text(found: Column) -> Column:
         ),
         ",",
     )
+
+
+def without_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES, text_col: str = "text") -> DataFrame:
+    """The rows whose text has no finding."""
+    found = F.exists(F.map_values("found"), lambda s: F.size(s) > 0)
+    dirty = update(docs, None, rules, text_col).where(found).select(F.col("blob").alias("_blob"))
+    rows = docs.withColumn("_address", _blob(text_col))
+    return rows.join(dirty, F.col("_address") == F.col("_blob"), "left_anti").select(*docs.columns)

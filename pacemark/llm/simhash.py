@@ -71,18 +71,20 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) ->
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` and ``fp`` (BIGINT, two's complement) of every row."""
+    """``doc_id``, ``fp`` (BIGINT, two's complement) and ``h``, a hash that tells texts apart, of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = [fingerprint(x.as_py()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"]
+                [batch.column(0), pa.array(fps, pa.int64()), batch.column(2)], names=["doc_id", "fp", "h"]
             )
 
-    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    narrow = docs.select(
+        F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"), F.xxhash64(text_col).alias("h")
+    )
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"doc_id {kind}, fp bigint")
+    return narrow.mapInArrow(run, f"doc_id {kind}, fp bigint, h bigint")
 
 
 def _turned(fp: str, place: Column) -> Column:
@@ -133,7 +135,7 @@ def links(nodes: DataFrame, extra: int = 0) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: ``doc_id``, ``fp`` and ``component_id``, the smallest id reachable by links."""
+    """Per row: ``doc_id, fp, h``, ``root``, the group's smallest fingerprint, and ``component_id``, its smallest id."""
     prints = store(fingerprints(docs, id_col, text_col))
     nodes = store(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = components(links(nodes, extra_segments(nodes.count())))
@@ -141,5 +143,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
     least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    group_of = roots.join(least, "root").select("fp", "component_id")
-    return prints.join(group_of, "fp").select("doc_id", "fp", "component_id")
+    group_of = roots.join(least, "root").select("fp", "root", "component_id")
+    return prints.join(group_of, "fp").select("doc_id", "fp", "h", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One whole row of each group: one with the group's ``component_id``."""
+    groups = near_duplicates(docs, id_col, text_col)
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(
+        F.min(F.struct("h", "doc_id")).alias("k")
+    )
+    kept = kept.select(F.col("k.h").alias("_h"), F.col("k.doc_id").alias("_id"))
+    rows = docs.withColumn("_text_hash", F.xxhash64(text_col))
+    same = (F.col("_text_hash") == F.col("_h")) & F.col(id_col).eqNullSafe(F.col("_id"))
+    return rows.join(kept, same, "left_semi").dropDuplicates([id_col, "_text_hash"]).select(*docs.columns)
