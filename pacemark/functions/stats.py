@@ -23,8 +23,9 @@ def margin95(pstdev: Column, n: Column | int = COMPAT_RUNS) -> Column:
 def floor_div(a: Column, b: Column) -> Column:
     """Exact integer division rounding down, NULL for a zero divisor."""
     divisor = F.nullif(b, F.lit(0).cast("bigint"))
-    rest = F.pmod(a, divisor)
-    return F.call_function("div", a - rest, divisor)
+    cut = F.call_function("div", a, divisor)  # towards zero
+    below = (a % divisor != 0) & ((a < 0) != (divisor < 0))
+    return cut - F.when(below, 1).otherwise(0)
 
 
 def throughput_from_rates(mean_rate: Column, rate_std: Column) -> Column:

@@ -49,9 +49,9 @@ def run_fields(line: Column) -> dict[str, Column]:
     return {
         "benchmark": _found(line, RUN_LABEL),
         "phase": _found(line, RUN_PHASE),
-        "checkpoint_s": _found(line, RUN_CHECKPOINT).cast("int"),
-        "rep": _found(line, RUN_REP).cast("int"),
-        "seconds": _found(line, RUN_SECONDS).cast("double"),
+        "checkpoint_s": _found(line, RUN_CHECKPOINT).try_cast("int"),
+        "rep": _found(line, RUN_REP).try_cast("int"),
+        "seconds": _found(line, RUN_SECONDS).try_cast("double"),
     }
 
 
@@ -74,7 +74,7 @@ def record_fields(line: Column) -> dict[str, Column]:
         "level": parts[2],
         "thread": parts[3],
         "class": given(4),
-        "src_line": given(5).cast("int"),
+        "src_line": given(5).try_cast("int"),
         "message": parts[6],
     }
 

@@ -29,8 +29,8 @@ START, STOP, FAIL = "START", "STOP", "FAIL"
 
 
 def whole(value: Column) -> Column:
-    """Value as stored: number or numeric text, cut towards zero."""
-    return value.cast("double").cast("bigint")
+    """Value as stored: number or numeric text, cut towards zero; NULL for anything else."""
+    return value.try_cast("double").try_cast("bigint")
 
 
 def number(

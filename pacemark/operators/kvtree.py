@@ -22,11 +22,12 @@ def flatten(
     """One row per node: ``depth``, ``path``, ``name``, ``parent``, ``value``.
 
     The trees are taken apart level by level as VARIANT values. The number of levels is the deepest
-    nesting of braces outside of strings; only that number reaches the driver. Documents that are no
-    JSON have no nodes.
+    nesting of braces outside of strings in a document that is JSON; only that number reaches the
+    driver. Other documents have no nodes.
     """
     names = list(keys)
-    bare = F.regexp_replace(text, r'"(?:[^"\\]|\\.)*"', "")
+    # possessive: the engine goes through a string in a loop, however long it is
+    bare = F.regexp_replace(text, r'"(?:[^"\\]++|\\.)*+"', "")
     braces = F.split(F.regexp_replace(bare, r"[^{}]", ""), "")
     step = F.create_map(F.lit("{"), F.lit(1), F.lit("}"), F.lit(-1))
     nesting = F.aggregate(
@@ -38,7 +39,8 @@ def flatten(
         ),
         lambda a: a["top"],
     )
-    levels = (documents.agg(F.max(nesting)).first()[0] or 1) - 1
+    is_json = F.try_parse_json(text).isNotNull()
+    levels = (documents.agg(F.max(F.when(is_json, nesting))).first()[0] or 1) - 1
 
     def children(node: Column, depth: int) -> Column:
         named = F.map_entries(F.variant_get(node, "$", "map<string, variant>"))
@@ -94,10 +96,15 @@ def nest(nodes: DataFrame, keys: Sequence[str] = ("snapshot",)) -> DataFrame:
     """One JSON document per snapshot from its flat nodes (``path``, ``value``).
 
     Works from the deepest level up with one grouping per level; the driver only learns the depth. A
-    NULL value is written as 0. Children are in the order of their names. A document is one string, so
-    a snapshot has to fit one; many snapshots are worked off side by side.
+    NULL value is written as 0. Children are in the order of their names; missing ancestors are added
+    with empty values. A document is one string, so a snapshot has to fit one; many snapshots are worked
+    off side by side. A NULL key is a snapshot like any other.
     """
-    names = list(keys)
+    names = ["_snapshot"]
+    nodes = nodes.select(F.struct(*keys).alias("_snapshot"), "path", "value")
+    above = with_inner_nodes(nodes, names).select(*names, "path")
+    missing = above.join(nodes, [*names, "path"], "left_anti")
+    nodes = nodes.unionByName(missing.withColumn("value", F.lit("")))
     depth = F.when(F.col("path") == "/", 0).otherwise(
         F.size(F.split(F.trim("path", F.lit("/")), "/"))
     )
@@ -130,7 +137,8 @@ def nest(nodes: DataFrame, keys: Sequence[str] = ("snapshot",)) -> DataFrame:
         written = here.withColumn("_text", text)
         if d == 0:
             return written.select(
-                *names, F.concat(F.lit('{"/": '), F.col("_text"), F.lit("}")).alias("doc")
+                *[F.col("_snapshot")[k].alias(k) for k in keys],
+                F.concat(F.lit('{"/": '), F.col("_text"), F.lit("}")).alias("doc"),
             )
         below = (
             written.select(

@@ -7,8 +7,8 @@ ones (`scan`). Frames of a fixed number of rows (`last_n`) run over blocks of a
 each block seeing the last rows of the block before it.
 
 Where the slices are cut affects only balance, never results.
-A row with a NULL key belongs to no key and is left out; order columns must not be NULL and must be
-unique together per key.
+Rows with a NULL key form a key of their own, as in a grouping. Order columns must not be NULL and must
+be unique together per key.
 """
 
 from __future__ import annotations
@@ -170,15 +170,20 @@ def scan(
 
     With ``slice_col=None`` these are plain windows per key: one shuffle, right where keys are many
     and none is large. With a slice column, the rows are shuffled once by ``(keys, slice)``; the
-    carry table is aggregated map-side and has at most one row per key and slice.
+    carry table is aggregated map-side and has at most one row per key and slice. Both are joined by
+    the keys in one struct, which is equal to another one where both have NULL in a key.
     """
     if slice_col is None:
         w = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumns({n: c.finish(c.local(w), c.alone(w)) for n, c in columns.items()})
-    parts = [*keys, slice_col]
+    coded = ["_key"] if keys else []
+    parts = [*coded, slice_col]
+    kept = [c for c in df.columns if c not in columns]
     position = F.struct(*order)
+    if keys:
+        df = df.withColumn("_key", F.struct(*keys))
     w = Window.partitionBy(*parts).orderBy(*order)
-    over_slices = Window.partitionBy(*keys).orderBy(slice_col)
+    over_slices = Window.partitionBy(*coded).orderBy(slice_col)
     totals = df.groupBy(*parts).agg(
         *[c.total(position).alias(f"_t_{name}") for name, c in columns.items()]
     )
@@ -186,7 +191,6 @@ def scan(
         *parts,
         *[c.carried(F.col(f"_t_{n}"), over_slices).alias(f"_c_{n}") for n, c in columns.items()],
     )
-    kept = [c for c in df.columns if c not in columns]
     local = df.select("*", *[c.local(w).alias(f"_l_{n}") for n, c in columns.items()])
     # an inner join: both branches then read the input with the same filters and share its shuffle
     return local.join(carry, parts).select(

@@ -129,26 +129,29 @@ def step_period_join(
     steps: DataFrame,
     default: int,
     order: Sequence[str] = ORDER,
-    chain: int = 64,
 ) -> DataFrame:
-    """`io_period` for a step table given as rows ``threshold``, ``period``.
+    """`io_period` for a step table of any length given as rows ``threshold``, ``period``.
 
-    Up to ``chain`` steps become one chain of comparisons. More of them are merged with the totals in
-    one descending order, where each total takes the period of the step before it.
+    Steps and totals are merged in one descending order, where each total takes the period of the step
+    before it. Totals keep their type: 60.5 is above a threshold of 60. Of several periods for one
+    threshold the shortest counts; rows without threshold or period are no steps.
     """
-    few = steps.select("threshold", "period").limit(chain + 1).collect()
-    if len(few) <= chain:
-        return io_period(totals, [tuple(r) for r in few], default)
+    kind = "double" if dict(totals.dtypes)["total"] in ("double", "float") else "decimal(38,6)"
+    steps = (
+        steps.where(F.col("threshold").isNotNull() & F.col("period").isNotNull())
+        .groupBy("threshold")
+        .agg(F.min("period").alias("period"))
+    )
     marked = totals.withColumns(
         {
-            "_down": (-F.col("total")).cast("bigint"),
+            "_down": F.coalesce(-F.col("total").cast(kind), F.lit(0).cast(kind)),
             "_side": F.lit(1),
             "period": F.lit(None).cast("int"),
         }
     )
     merged = marked.unionByName(
         steps.select(
-            (-F.col("threshold")).cast("bigint").alias("_down"),
+            (-F.col("threshold").cast(kind)).alias("_down"),
             F.lit(0).alias("_side"),
             F.col("period").cast("int").alias("period"),
             *[F.lit(0).cast(totals.schema[c].dataType).alias(c) for c in order],
@@ -158,8 +161,9 @@ def step_period_join(
     along = ["_down", "_side", *order]
     sliced = Slices.plan(merged, ("_down", order[-1])).assign(merged, "_piece")
     out = scan(sliced, [], along, {"_known": last_known(F.col("period"))}, "_piece")
-    period = F.when(F.col("total") >= 0, F.col("_known"))
-    found = out.where(F.col("_side") == 1).withColumn("period", F.coalesce(period, F.lit(default)))
+    known = F.coalesce(F.when(F.col("total") >= 0, F.col("_known")), F.lit(default))
+    period = F.when(F.col("total").isNotNull(), known)
+    found = out.where(F.col("_side") == 1).withColumn("period", period)
     return found.select(*totals.columns, "period")
 
 
@@ -180,7 +184,7 @@ def controller(
     computed: DataFrame,
     start: int | str = PERIOD_START,
     threshold: int = PERIOD_THRESHOLD,
-    dynamic: bool = True,
+    dynamic: bool | Column = True,
     keys: Sequence[str] = CLUSTER,
     order: Sequence[str] = ORDER,
     slice_col: str = SLICE,
@@ -188,13 +192,16 @@ def controller(
     """Announcements where the step table and the period formula share one current period.
 
     Step periods are announced on any difference, computed ones outside the dead-band and only if
-    ``dynamic``. At the same order values the step period comes first.
+    ``dynamic``, which may be a condition on the computed rows, such as one per cluster. At the same
+    order values the step period comes first.
     """
     extra = [start] if isinstance(start, str) else []
     columns = [*keys, *order, slice_col, *extra]
     period = F.col("period").cast("bigint").alias("period")
     merged = io.select(*columns, period, F.lit(0).alias("kind"))
-    if dynamic:
+    if isinstance(dynamic, Column):
+        computed = computed.where(F.coalesce(dynamic, F.lit(False)))
+    if isinstance(dynamic, Column) or dynamic:
         merged = merged.unionByName(computed.select(*columns, period, F.lit(1).alias("kind")))
     merged = merged.withColumn("_io", F.col("kind") == 0)
     out = announce(merged, keys, [*order, "kind"], "period", threshold, start, "_io", slice_col)

@@ -150,7 +150,6 @@ def iterate(
 
 BROADCAST_ROWS = 1_000_000
 EDGES_PER_PARTITION = 200_000
-MAX_PARTITIONS = 20_000
 
 
 def pagerank(
@@ -168,7 +167,10 @@ def pagerank(
     """
     spark = edges.sparkSession
     given = cut(edges.select("src", "dst"))
-    spread = min(MAX_PARTITIONS, 1 + given.count() // EDGES_PER_PARTITION)
+    n_edges = given.count()
+    if not n_edges:
+        return given.select(F.col("src").alias("node"), F.lit(0.0).alias("rank")).where(F.lit(False))
+    spread = 1 + n_edges // EDGES_PER_PARTITION
     pace = cadence or Cadence(mtbf_s=3600.0)
     with settings(spark, shuffle__partitions=spread):
         return _ranks(given, iterations, damping, pace, edges_per_part)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from models import step, time_between_failures
-from pacemark.functions import periods
+from pacemark.functions import periods, text
 from pacemark.functions.stats import floor_div, margin95, overhead_percent
 from pacemark.operators import history, kvtree, lists, logs, policy, runs, telemetry, workloads
 from pacemark.operators.ordered import Slices
@@ -66,10 +66,8 @@ def test_steps(spark):
     want = [10, 10, 36, 36, 60, 500, 500, 500]
     assert [r[0] for r in values(policy.io_period(df), "period")] == want == [step(t) for t in totals]
     table = spark.createDataFrame(periods.IO_STEPS, "threshold int, period int")
-    joined = policy.step_period_join(df, table, periods.IO_STEP_DEFAULT)
-    assert dict(values(joined, "total", "period")) == dict(zip(totals, want))
     rows = df.select("total", F.monotonically_increasing_id().alias("us")).withColumn("event_id", F.col("us"))
-    merged = policy.step_period_join(rows, table, periods.IO_STEP_DEFAULT, chain=3)
+    merged = policy.step_period_join(rows, table, periods.IO_STEP_DEFAULT)
     assert dict(values(merged, "total", "period")) == dict(zip(totals, want))
 
 
@@ -83,7 +81,9 @@ def test_counter_rate(spark):
     reset = telemetry.counter_rate(df, reset_is_null=True).orderBy("us")
     assert [r[0] for r in values(reset, "rate")] == [None, 2, None, None, 1]
     assert telemetry.rate_filter(got, 2).count() == 1
-    assert one(spark, floor_div(F.lit(-7), F.lit(2))) == -4
+    for a, b in [(-7, 2), (7, -2), (-7, -2), (7, 2), (6, -2), (0, -3)]:
+        assert one(spark, floor_div(F.lit(a), F.lit(b))) == a // b
+    assert one(spark, floor_div(F.lit(1), F.lit(0))) is None
 
 
 def test_periods(spark):
@@ -291,3 +291,57 @@ def test_sort_and_probes(spark, tmp_path):
 def test_pi(spark):
     got = workloads.pi_random(spark, 2).first()
     assert got.n == 400_000 and got.pi == pytest.approx(3.1416, abs=0.02)
+
+
+def test_step_join_keeps_types_and_ties(spark):
+    steps = spark.createDataFrame([(60, 99), (80, 36), (60, 10), (None, 1), (90, None)], "threshold int, period int")
+    totals = [60.0, 60.5, 80.0, 80.01, -1.0, None, 0.0]
+    rows = [(t, i, i) for i, t in enumerate(totals)]
+    df = spark.createDataFrame(rows, "total double, us bigint, event_id bigint")
+    want = dict(zip(range(7), [10, 36, 36, 500, 500, None, 10]))
+    got = policy.step_period_join(df, steps, 500)
+    assert {r.event_id: r.period for r in got.collect()} == want
+    few = policy.io_period(df, [(60, 99), (80, 36), (60, 10)], 500)
+    assert {r.event_id: r.period for r in few.collect()} == want
+
+
+def test_nest_adds_missing_ancestors(spark):
+    nodes = spark.createDataFrame([(1, "/a/b/", "x"), (None, "/c/", None), (None, "/", "r")], "snapshot int, path string, value string")
+    docs = {r.snapshot: r.doc for r in kvtree.nest(nodes).collect()}
+    assert docs == {
+        1: '{"/": ["", "/", {"a": ["", "/a/", {"b": ["x", "/a/b/", {}]}]}]}',
+        None: '{"/": ["r", "/", {"c": [0, "/c/", {}]}]}',
+    }
+
+
+def test_flatten_long_values_and_broken_texts(spark):
+    long = "x\\\"{" * 250_000
+    doc = '{"/": ["' + long + '", "/", {"a": ["1", "/a/", {}]}]}'
+    rows = [(1, doc), (2, "{" * 3_000), (3, None), (4, "no json")]
+    flat = kvtree.flatten(spark.createDataFrame(rows, "snapshot int, doc string")).collect()
+    assert sorted((r.snapshot, r.path) for r in flat) == [(1, "/"), (1, "/a/")]
+    assert len(next(r.value for r in flat if r.path == "/")) == 750_000
+
+
+def test_pagerank_without_edges(spark):
+    none = spark.createDataFrame([], "src bigint, dst bigint")
+    assert workloads.pagerank(none, 3).count() == 0
+
+
+def test_numbers_that_are_too_long(spark):
+    lines = spark.createDataFrame([("TestDFSIO (AF) #99999999999 = 5 seg.",), ("TestDFSIO (AF) #3 = 5 seg.",)], "text string")
+    good = lines.withColumns(text.run_fields(F.col("text"))).collect()
+    assert [r.rep for r in good] == [None, 3]
+    record = "2024-01-01 00:00:00,000 [myid:1] - INFO  [main:A@99999999999] - m"
+    assert spark.createDataFrame([(record,)], "text string").select(text.record_fields(F.col("text"))["src_line"]).first()[0] is None
+    assert one(spark, history.whole(F.lit("x"))) is None
+
+
+def test_gated_candidates_in_the_dead_band(spark):
+    rows = [(k, i, i, 100 + 9 * i, i // 4) for k in (0, 1) for i in range(12)]
+    df = spark.createDataFrame(rows, "cluster bigint, us bigint, event_id bigint, period bigint, slice bigint")
+    said = policy.dead_band(policy.gated(df, F.col("cluster") == 0))
+    assert {r.cluster for r in said.collect()} == {0}
+    io = df.where("false")
+    both = policy.controller(io, df, dynamic=F.col("cluster") == 1)
+    assert {r.cluster for r in both.collect()} == {1}

@@ -124,3 +124,56 @@ def test_no_task_gets_a_whole_key(spark):
     largest = sliced.groupBy("k", "slice").count().agg(F.max("count")).first()[0]
     assert largest < 4000 / 4
     assert out.agg(F.max("sum")).first()[0] == 4000
+
+
+def steady(kind, n, rng):
+    level = 800
+    for i in range(n):
+        if kind == "jumps" and i % 9_000 == 8_999:
+            level += rng.randint(-900, 900)
+        yield level + (rng.randint(-2, 2) if kind != "constant" else 0)
+
+
+@pytest.mark.parametrize("kind", ["constant", "near", "jumps"])
+@pytest.mark.parametrize("threshold,slices", [(5, 1), (5, 10), (600, 10)])
+def test_announce_on_steady_candidates(spark, kind, threshold, slices):
+    rng, n = random.Random(7), 50_000
+    values = list(steady(kind, n, rng))
+    data = [(0, i, i, v, i * slices // n) for i, v in enumerate(values)]
+    df = spark.createDataFrame(data, "k int, us bigint, event_id bigint, period bigint, slice bigint")
+    got = announce(df, ["k"], ORDER, "period", threshold, 3600)
+    want = dead_band([(v, False) for v in values], 3600, threshold)
+    assert sorted(r.event_id for r in got.collect()) == want
+
+
+def test_announce_with_null_keys_candidates_and_start(spark):
+    data = [(None, i, i, 100 + 7 * i if i % 4 else None, i // 5, None) for i in range(20)]
+    data += [(2, i, i, 100, i // 5, 100) for i in range(20)]
+    kind = "k int, us bigint, event_id bigint, period bigint, slice bigint, start bigint"
+    got = announce(spark.createDataFrame(data, kind), ["k"], ORDER, "period", 10, "start").collect()
+    mine = [(r[2], (r[3], False)) for r in data if r[0] is None and r[3] is not None]
+    want = dead_band([v for _, v in mine], -(10**9), 10)
+    assert sorted((r.k, r.event_id) for r in got) == [(None, mine[i][0]) for i in want]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_null_keys_are_a_key(spark, seed):
+    """Sliced and plain scans agree where key parts are NULL and one key is hot."""
+    rng = random.Random(seed)
+    keys = [(None, None), (None, 1), (1, None), (1, 1)]
+    data = [
+        (*(keys[0] if rng.random() < 0.6 else rng.choice(keys)), i // 3, i, rng.randint(0, 9), rng.choice([None, "a", "b"]))
+        for i in range(400)
+    ]
+    df = spark.createDataFrame(data, "a int, b int, us bigint, event_id bigint, x bigint, s string")
+    df = Slices.plan(df, ORDER, min_slices=7).assign(df)
+    columns = {
+        "sum": running_sum(F.col("x")),
+        "known": last_known(F.col("s")),
+        "prior": previous(F.col("s")),
+        "whole": key_total(F.col("x")),
+    }
+    sliced = scan(df, ["a", "b"], ORDER, columns)
+    assert sliced.count() == 400
+    plain = scan(df, ["a", "b"], ORDER, columns, None)
+    assert sorted(map(repr, sliced.collect())) == sorted(map(repr, plain.collect()))
