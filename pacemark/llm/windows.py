@@ -25,6 +25,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +42,7 @@ BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> bytes:
-        self[word] = digest = hashlib.blake2b(word, digest_size=16).digest()
+        self[word] = digest = xxhash.xxh3_128_digest(word)
         return digest
 
 
@@ -56,7 +57,7 @@ def _rolled(h: np.ndarray, size: int, base: int) -> np.ndarray:
 class Words:
     """The leaders' words of a chunk, one after another, in the order of their digests."""
 
-    def __init__(self, rows: pa.Table, leaders: pa.Table, window: int):
+    def __init__(self, rows: pa.Table, leaders: pa.Table):
         chosen = sorted(
             {(d, i) for d, i in zip(leaders["digest"].to_pylist(), leaders["doc_id"].to_pylist()) if i is not None}
         )
@@ -64,17 +65,21 @@ class Words:
         for at, key in enumerate(zip(rows["digest"].to_pylist(), rows["doc_id"].to_pylist())):
             where.setdefault(key, at)
         self.keys = [k for k in chosen if k in where]
-        known, hashes, self.sizes = _Hashes(), [b""], []
-        for key in self.keys:
-            words = rows["text"][where[key]].as_py().split()
+        self.words = [rows["text"][where[k]].as_py().split() for k in self.keys]
+        self.sizes = [len(w) for w in self.words]
+        self.begins = np.cumsum([0, *self.sizes])
+
+    def hash(self, window: int) -> Words:
+        """Add the words' 128-bit hashes in two halves, their documents, and where windows start."""
+        known, hashes = _Hashes(), [b""]
+        for words in self.words:
             hashes += map(known.__getitem__, words)
-            self.sizes.append(len(words))
         both = np.frombuffer(b"".join(hashes), np.uint64).reshape(-1, 2)
         self.h1, self.h2 = np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
-        self.begins = np.cumsum([0, *self.sizes])
         self.ids = np.repeat(np.array([i for _, i in self.keys], np.int64), self.sizes)
         left = np.repeat(self.begins[1:], self.sizes) - np.arange(len(self.h1))
-        self.starts = np.flatnonzero(left >= window)  # of windows inside one text
+        self.starts = np.flatnonzero(left >= window)
+        return self
 
     def runs(self, window: int, run: int) -> np.ndarray:
         """The key of each window: the smallest hash of its runs."""
@@ -105,7 +110,7 @@ def dedup(
     rows = dealt.rows.groupBy("chunk")
 
     def count(own: pa.Table, lead: pa.Table) -> pa.Table:
-        words = Words(own, lead, window)
+        words = Words(own, lead).hash(window)
         keys = words.runs(window, run)
         fresh = np.ones(len(keys), bool)  # neighbours with one and the same run count it once
         if len(keys):
@@ -121,7 +126,7 @@ def dedup(
 
     def hash_windows(own: pa.Table, told: pa.Table) -> pa.Table:
         is_flag = told["vals"].is_valid()
-        words = Words(own, told.filter(pa.compute.invert(is_flag)), window)
+        words = Words(own, told.filter(pa.compute.invert(is_flag))).hash(window)
         keep = sketch.estimated(words.runs(window, run), told.filter(is_flag), n_blocks)
         at = words.starts[keep]
         place = (own["chunk"][0].as_py() if len(own) else 0) << 32
@@ -143,8 +148,8 @@ def dedup(
 
     def cut(own: pa.Table, told: pa.Table) -> pa.Table:
         is_gone = told["at"].is_valid()
-        words = Words(own, told.filter(pa.compute.invert(is_gone)), window)
-        change = np.zeros(len(words.h1) + 1, np.int64)
+        words = Words(own, told.filter(pa.compute.invert(is_gone)))
+        change = np.zeros(words.begins[-1] + 1, np.int64)
         at = told.filter(is_gone)["at"].to_numpy()
         np.add.at(change, at, 1)
         np.add.at(change, at + window, -1)
@@ -152,12 +157,13 @@ def dedup(
         place = {k: i for i, k in enumerate(words.keys)}
         sizes, removed, kept = [], [], []
         for digest, doc, text in zip(*(own[c].to_pylist() for c in ("digest", "doc_id", "text"))):
-            each = text.split()
-            sizes.append(len(each))
             i = place.get((digest, doc))
+            each = words.words[i] if i is not None else text.split()
+            sizes.append(len(each))
             if i is not None:
-                stays = ~covered[words.begins[i] : words.begins[i + 1]]
-                each = [w for w, s in zip(each, stays.tolist()) if s]
+                gone_here = covered[words.begins[i] : words.begins[i + 1]]
+                if gone_here.any():
+                    each = [w for w, g in zip(each, gone_here.tolist()) if not g]
             elif doc is not None and len(each) >= window:  # a smaller id has the same text
                 each = []
             removed.append(sizes[-1] - len(each))
