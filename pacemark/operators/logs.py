@@ -13,7 +13,7 @@ from pacemark.operators.ordered import SLICE, last_known, row_number, running_su
 # Texts looked for in logs, and texts whose lines are dropped.
 CHECKPOINT_DONE = "Roll Edit Log"
 PERIOD_CHANGED = "New checkpoint"
-EDITS_LOADED = "FSImage: Edits file"
+EDITS_LOADED = "INFO org.apache.hadoop.hdfs.server.namenode.FSImage: Edits file"
 DROPPED = ["STARTUP_MSG:", "org.apache.hadoop.hdfs.StateChange:", "BlockStateChange: BLOCK*"]
 
 
@@ -33,6 +33,14 @@ def pattern_counts(
     return found.unionByName(listed).groupBy(*file).agg(F.count_if("_hit").alias("cnt"))
 
 
+def with_empty_files(
+    lines: DataFrame, files: DataFrame, file: Sequence[str] = ("file",)
+) -> DataFrame:
+    """All lines, and one row without a line for each file that has none."""
+    empty = files.select(*file).join(lines.select(*file), list(file), "left_anti")
+    return lines.unionByName(empty, allowMissingColumns=True)
+
+
 def pattern_mean(counts: DataFrame) -> DataFrame:
     """Number of files and mean of their counts."""
     return counts.agg(F.count("*").alias("n_files"), F.avg("cnt").alias("mean_cnt"))

@@ -81,7 +81,7 @@ class Slices:
             bounds = [float("-inf"), *(c[1] for c in self.cuts if c[0] == value), float("inf")]
             pieces += [(value, lo, hi, i) for i, (lo, hi) in enumerate(zip(bounds, bounds[1:]))]
         hot = df.sparkSession.createDataFrame(
-            pieces, "_hot double, _lo double, _hi double, _piece bigint"
+            pieces, "_hot double, _lo double, _hi double, _hot_piece bigint"
         )
         a, b = F.col(first).cast("double"), F.col(second).cast("double")
         joined = df.join(
@@ -89,8 +89,8 @@ class Slices:
             (a == F.col("_hot")) & (b >= F.col("_lo")) & (b < F.col("_hi")),
             "left",
         )
-        number = bucket * width + F.coalesce("_piece", F.lit(width - 1))
-        return joined.withColumn(name, number).drop(raw, "_hot", "_lo", "_hi", "_piece")
+        number = bucket * width + F.coalesce("_hot_piece", F.lit(width - 1))
+        return joined.withColumn(name, number).drop(raw, "_hot", "_lo", "_hi", "_hot_piece")
 
 
 @dataclass(frozen=True)
@@ -123,6 +123,16 @@ def row_number() -> Carry:
     return running_sum(F.lit(1).cast("bigint"))
 
 
+def running_max(x: Column, before: bool = False) -> Carry:
+    """Largest ``x`` of the key, up to the current row or strictly before it."""
+    return Carry(
+        local=lambda w: F.max(x).over(_rows(w, -1 if before else 0)),
+        total=lambda order: F.max(x),
+        carried=lambda t, w: F.max(t).over(_rows(w, -1)),
+        finish=lambda here, prior: F.greatest(here, prior),
+    )
+
+
 def last_known(x: Column, before: bool = False) -> Carry:
     """Latest non-NULL ``x`` of the key, up to the current row or strictly before it."""
     return Carry(

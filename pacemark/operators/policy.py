@@ -20,7 +20,7 @@ from pacemark.functions.periods import (
     step_period,
     valid_period,
 )
-from pacemark.operators.history import history_avg
+from pacemark.operators.history import history_avg, number
 from pacemark.operators.hysteresis import announce
 from pacemark.operators.ordered import SLICE, Slices, last_known, previous, row_number, scan
 from pacemark.operators.telemetry import CLUSTER, ORDER, UPDATE, io_total
@@ -58,6 +58,25 @@ def observe(
     )
 
 
+def observe_carried(
+    costs: DataFrame,
+    carried: DataFrame,
+    cluster: Sequence[str] = CLUSTER,
+    order: Sequence[str] = ORDER,
+    slice_col: str = SLICE,
+) -> DataFrame:
+    """Observations of costs (``value`` in ms) and of times between failures that carry interruptions.
+
+    ``carried`` comes from `history.tbf_carry_last` or `tbf_carry_accumulate`, where the first failure
+    counts from the START before it; its ``value`` is in seconds.
+    """
+    columns = [*cluster, *order, slice_col, "value"]
+    both = costs.select(*columns, F.lit(COST).alias("series")).unionByName(
+        carried.select(*columns, F.lit(MTBF).alias("series"))
+    )
+    return number(both, [*cluster, "series"], order, slice_col)
+
+
 def averages(
     observations: DataFrame,
     n: int = HISTORY_LENGTH,

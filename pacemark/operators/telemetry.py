@@ -12,7 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pacemark.functions.stats import floor_div
-from pacemark.operators.ordered import SLICE, last_known, previous, running_sum, scan
+from pacemark.operators.ordered import (
+    SLICE,
+    last_known,
+    previous,
+    running_max,
+    running_sum,
+    scan,
+)
 
 ORDER = ("us", "event_id")
 CLUSTER = ("cluster",)
@@ -219,3 +226,19 @@ def windowed(
         )
         .select(*keys, F.col("w.start").alias("window_start"), "n", "sum_rate", "avg_rate", "max_rate")
     )
+
+
+def late_rows(
+    df: DataFrame,
+    time: str,
+    arrival: Sequence[str],
+    keys: Sequence[str] = CLUSTER,
+    slice_col: str | None = SLICE,
+) -> DataFrame:
+    """Rows that are older than one of their key that arrived before: these are late, the others current.
+
+    The batch form of the rule for streams, with the order of arrival given by columns.
+    """
+    out = scan(df, keys, arrival, {"_seen": running_max(F.col(time), before=True)}, slice_col)
+    late = F.coalesce(F.col(time) < F.col("_seen"), F.lit(False))
+    return out.withColumn("late", late).drop("_seen")

@@ -82,6 +82,7 @@ def agent_messages(spark: SparkSession, sf: str) -> DataFrame:
         .when(i % 107 == 0, F.concat(F.lit("UPDATE:"), F.floor("value"), F.lit(":9")))
         .when(i % 109 == 0, "UPDATE:1a")
         .when(i % 113 == 0, F.concat(F.lit("UPDATE-CC:"), F.floor("value")))
+        .when(i % 127 == 0, F.concat(F.lit("UPDATE-MTBF:"), "t"))
         .when(F.col("event_type") == "signup", "IN")
         .when(F.col("event_type") == "error", "OUT")
         .otherwise(F.concat(F.lit("UPDATE:"), F.floor("value")))
@@ -220,3 +221,80 @@ def hashed_unit(text: Column, start: int) -> Column:
     """A number in [0, 1) from eight hex digits of the MD5 of a text."""
     digits = F.substring(F.md5(text), start, 8)
     return F.conv(digits, 16, 10).cast("double") / F.lit(float(2**32))
+
+
+def steady_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """Periods of two clusters that stay within a second and rarely move on."""
+    rows = events(spark, sf).withColumn("cluster", F.col("cluster") % 2)
+    level = 800 + 7 * F.expr("event_id div 2000") + F.floor("value") % 3
+    return rows.select("cluster", "us", "event_id", "slice", level.alias("period"))
+
+
+def region_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """One snapshot per region, with the leaves only."""
+    region = F.regexp_extract("path", "^/([^/]+)/", 1)
+    return supplier_paths(spark, sf).select(region.alias("snapshot"), "path", "value")
+
+
+def document_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """One snapshot per document with its whole text as a value."""
+    docs = table(spark, sf, "documents")
+    path = F.concat(F.lit("/"), "lang", F.lit("/"), "doc_id", F.lit("/"))
+    return docs.select(F.col("doc_id").alias("snapshot"), path.alias("path"), F.col("text").alias("value"))
+
+
+def report_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The items of an order as one text of reports, with and without empty lines between them."""
+    number = F.col("l_linenumber")
+    zone = F.when(number % 3 == 0, "BRT").when(number % 3 == 1, "UTC").otherwise("CET")
+    day = F.col("l_shipdate").cast("timestamp")
+    block = F.concat(
+        F.lit("----- TestDFSIO ----- : "), F.when(number % 2 == 0, "read").otherwise("write"),
+        F.lit("\n           Date & time: "), F.date_format(day, "EEE MMM dd HH:mm:ss "), zone,
+        F.date_format(day, " yyyy"), F.lit("\n       Number of files: "), number,
+        F.lit("\nTotal MBytes processed: "), "l_extendedprice",
+        F.lit("\n     Throughput mb/sec: "), "l_quantity",
+        F.lit("\nAverage IO rate mb/sec: "), "l_discount",
+        F.lit("\n IO rate std deviation: "), F.when(number == 4, "none").otherwise(F.col("l_tax").cast("string")),
+        F.lit("\n    Test exec time sec: "), "l_partkey", F.lit("\n"),
+    )
+    rows = table(spark, sf, "lineitem").select("l_orderkey", F.struct(number.alias("n"), block.alias("b")).alias("s"))
+    parted = F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["b"]), "~")
+    gap = F.when(F.col("l_orderkey") % 2 == 0, "\n").otherwise("")
+    return (
+        rows.groupBy("l_orderkey")
+        .agg(parted.alias("text"))
+        .withColumn("text", F.concat(F.lit("head\n"), F.call_function("replace", "text", F.lit("~"), gap)))
+    )
+
+
+def label_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Result lines of all formats, one file per order that begins with a title and a profile line."""
+    rep = F.col("rep")
+    kind = (F.col("l_orderkey") + rep) % 7
+    text = (
+        F.when(kind == 0, F.concat(F.lit("TeraGen #"), rep, F.lit(" = "), "seconds", F.lit(" seg.")))
+        .when(kind == 1, F.concat(F.lit("TestDFSIO ("), "phase", F.lit(") #"), rep, F.lit(" = "), "seconds", F.lit(" seg.")))
+        .when(kind == 2, F.concat(F.lit("TestDFSIO-3600 #"), rep, F.lit(" = "), "seconds", F.lit(" seg.")))
+        .when(kind == 3, F.concat(F.lit("["), "phase", F.lit("] TestDFSIOe #"), rep, F.lit(" = "), "seconds", F.lit(" sec.")))
+        .when(kind == 4, F.concat(F.lit("Spark HiBench ("), "phase", F.lit(") #"), rep, F.lit(" = "), "seconds", F.lit(" seg.")))
+        .when(kind == 5, F.concat(F.lit("#"), rep, F.lit(" = "), "seconds", F.lit(" s.")))
+        .otherwise(F.concat(F.lit(">> Run "), rep, F.lit(" >> "), "seconds", F.lit(" s.")))
+    )
+    lines = runs(spark, sf).select(F.col("l_orderkey").alias("file"), rep.cast("bigint").alias("line_id"), text.alias("text"))
+    head = F.explode(
+        F.array(
+            F.struct(F.lit(-2).alias("i"), F.lit("------ PageRank benchmark ------").alias("x")),
+            F.struct(F.lit(-1).alias("i"), F.lit("Profile: large").alias("x")),
+        )
+    )
+    files = table(spark, sf, "orders").select(F.col("o_orderkey").alias("file"), head.alias("h"))
+    titles = files.where("file % 3 <> 0").select("file", F.col("h.i").cast("bigint").alias("line_id"), F.col("h.x").alias("text"))
+    return lines.unionByName(titles)
+
+
+def step_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Step tables as texts, one per customer."""
+    pair = F.concat_ws(": ", F.col("o_orderkey").cast("string"), F.year("o_orderdate").cast("string"))
+    rows = table(spark, sf, "orders").groupBy("o_custkey").agg(F.collect_list(pair).alias("p"))
+    return rows.select("o_custkey", F.concat(F.lit("{"), F.array_join("p", ", "), F.lit(", -1: 500}")).alias("text"))

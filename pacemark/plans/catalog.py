@@ -25,6 +25,8 @@ from pacemark.operators import (
 )
 from pacemark.plans import bindings as b
 from pacemark.session import cut
+from pacemark.operators.ordered import last_known, previous, running_sum, scan
+from pacemark.sources import text as sources
 from pacemark.sources.text import EXEC_MARK, last_token_values
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -144,6 +146,29 @@ def telemetry_sliding(spark, sf):
     return _rollup(spark, sf, "6 hours", "2 hours")
 
 
+@query
+def late_rows(spark, sf):
+    """Events that arrive up to two hours after they happened."""
+    delay = F.pmod(F.col("event_id") * 7919, F.lit(7200)) * 1_000_000
+    rows = b.events(spark, sf).withColumn("arrived", F.col("us") + delay)
+    rows = b.sliced(rows.drop("slice"), sf, "arrivals", ("arrived", "event_id"))
+    out = telemetry.late_rows(rows, "us", ["arrived", "event_id"])
+    return out.select("event_id", "cluster", _int("late"))
+
+
+@query
+def scan_null_keys(spark, sf):
+    """Running columns where one cluster in eight has no number."""
+    rows = b.events(spark, sf).withColumn("cluster", F.nullif("cluster", F.lit(3)))
+    columns = {
+        "total": running_sum(F.floor("value")),
+        "known": last_known(F.when(F.col("event_type") == "error", F.col("event_id"))),
+        "prior": previous(F.col("event_id")),
+    }
+    out = scan(rows, ["cluster"], ["us", "event_id"], columns)
+    return out.select("event_id", "cluster", *columns)
+
+
 # --- histories --------------------------------------------------------------------------------
 
 
@@ -300,6 +325,44 @@ def controller_combined(spark, sf):
     return out.select("event_id", "cluster", "kind", "period")
 
 
+def _carried_means(spark, sf):
+    carried = history.tbf_carry_last(b.lifecycle(spark, sf))
+    return policy.averages(policy.observe_carried(b.costs(spark, sf), carried))
+
+
+@query
+def period_from_carry(spark, sf):
+    """Starts, stops and failures, through carried times, averages and Young's period, to announcements."""
+    out = policy.dead_band(policy.candidates(_carried_means(spark, sf)))
+    return out.select("event_id", "cluster", "period")
+
+
+@query
+def controller_with_carry(spark, sf):
+    """The same together with the step table; odd clusters are static and have no computed periods."""
+    out = policy.controller(
+        policy.io_candidates(b.agent_rows(spark, sf)),
+        policy.candidates(_carried_means(spark, sf)),
+        dynamic=F.col("cluster") % 2 == 0,
+    )
+    return out.select("event_id", "cluster", "kind", "period")
+
+
+@query
+def period_deadband_steady(spark, sf):
+    out = policy.dead_band(b.steady_candidates(spark, sf))
+    return out.select("event_id", "cluster", "period")
+
+
+@query
+def step_period_table(spark, sf):
+    """Periods by a step table that is a DataFrame itself."""
+    steps = spark.createDataFrame(periods.IO_STEPS, "threshold int, period int")
+    totals = telemetry.io_total(b.agent_rows(spark, sf)).select("event_id", "us", "cluster", "total")
+    out = policy.step_period_join(totals, steps, periods.IO_STEP_DEFAULT)
+    return out.select("event_id", "cluster", "total", "period")
+
+
 @query
 def policy_gate(spark, sf):
     """Averages go on everywhere; periods are recommended in the dynamic clusters only."""
@@ -381,6 +444,27 @@ def run_lines_parse(spark, sf):
     )
 
 
+@query
+def run_labels(spark, sf):
+    """Result lines in all formats, with titles and profiles of their files."""
+    good, _ = sources.run_lines_with_headers(b.label_lines(spark, sf), slice_col=None)
+    columns = ("file", "line_id", "benchmark", "phase", "checkpoint_s", "rep", "seconds", "profile")
+    return good.select(*columns)
+
+
+@query
+def report_fields(spark, sf):
+    """Report blocks; times in a zone that is not known have no value."""
+    out = sources.report_fields(sources.split_reports(b.report_texts(spark, sf)))
+    numbers = ("n_files", "total_mb", "throughput", "avg_io", "io_std", "exec_s")
+    return out.select("l_orderkey", "op", F.unix_seconds("run_ts").alias("run_s"), *numbers)
+
+
+@query
+def step_table(spark, sf):
+    return sources.step_table(b.step_texts(spark, sf))
+
+
 @query
 def last_token(spark, sf):
     rows = b.runs(spark, sf)
@@ -423,12 +507,23 @@ def checkpoint_compare(spark, sf):
 
 @query
 def io_consistency(spark, sf):
-    """Reports of two equal transfers (orders with two items) checked against their own rates."""
-    rows = b.runs(spark, sf).withColumn("mb", F.lit(256.0))
-    pairs = runs.io_summary(rows, ["l_orderkey"], "mb", "seconds").where(F.col("n_tasks") == 2)
-    out = runs.io_consistent(pairs)
+    """Reports of all orders checked against their own rates, some of them with a wrong throughput."""
+    pairs = runs.io_summary(b.runs(spark, sf), ["l_orderkey"], "mb", "seconds")
+    wrong = F.when(F.col("l_orderkey") % 5 == 0, 1.01).otherwise(1.0)
+    # two files of one size: their rates fit the throughput; others need not
+    equal = b.runs(spark, sf).groupBy("l_orderkey").agg(F.max("seconds").alias("a"), F.min("seconds").alias("z"))
+    rate_a, rate_z = 512.0 / F.col("a"), 512.0 / F.col("z")
+    even = equal.select(
+        "l_orderkey",
+        ((rate_a + rate_z) / 2).alias("avg_io"),
+        (F.abs(rate_a - rate_z) / 2).alias("io_std"),
+        (wrong * 1024.0 / (F.col("a") + F.col("z"))).alias("throughput"),
+    )
+    out = runs.io_consistent(even).join(
+        runs.io_consistent(pairs).select("l_orderkey", F.col("consistent").alias("uneven")), "l_orderkey"
+    )
     return out.select(
-        "l_orderkey", _r(F.col("throughput"), 4).alias("throughput"), _int("consistent")
+        "l_orderkey", _r(F.col("throughput"), 4).alias("throughput"), _int("consistent"), _int("uneven")
     )
 
 
@@ -449,6 +544,16 @@ def _counts(spark, sf):
     return logs.pattern_counts(b.document_lines(spark, sf), files, PATTERN, ["doc_id"])
 
 
+@query
+def file_lines(spark, sf):
+    """Numbered lines with a bar of every document, and one row for each document without any."""
+    files = b.table(spark, sf, "documents").select(F.col("doc_id").alias("file"))
+    lines = b.document_lines(spark, sf).where(F.col("text").contains("|"))
+    lines = lines.select(F.col("doc_id").alias("file"), F.lit(0).alias("block"), F.col("pos").alias("line_id"), "text")
+    out = logs.with_empty_files(sources.number_lines(lines), files)
+    return out.select("file", "line_no", F.length("text").alias("n_chars"))
+
+
 @query
 def pattern_count_file(spark, sf):
     return _counts(spark, sf)
@@ -469,8 +574,9 @@ def pattern_cumulative_mean(spark, sf):
 @query
 def token_mean(spark, sf):
     text = F.concat(
-        F.lit("INFO org.apache.hadoop.hdfs.server.namenode."),
-        F.when(F.col("event_type") == "view", "Other: file").otherwise("FSImage: Edits file"),
+        F.lit("2024-01-01 00:00:00,000 "),
+        # a line of another level is not counted
+        F.when(F.col("event_type") == "view", logs.EDITS_LOADED.replace("INFO", "WARN")).otherwise(logs.EDITS_LOADED),
         F.lit(" /e of size "),
         "event_id",
         F.lit(" edits # "),
@@ -546,6 +652,19 @@ def kv_flatten(spark, sf):
     return kvtree.flatten(cut(kvtree.nest(b.snapshot_nodes(spark, sf))))
 
 
+@query
+def kv_nest_region(spark, sf):
+    """Leaves alone, one snapshot per region; the nodes above them are added."""
+    return kvtree.nest(b.region_nodes(spark, sf))
+
+
+@query
+def kv_flatten_texts(spark, sf):
+    """Whole documents as values, nested and flattened again."""
+    flat = kvtree.flatten(cut(kvtree.nest(b.document_nodes(spark, sf))))
+    return flat.select("snapshot", "depth", "path", F.md5(F.col("value").cast("binary")).alias("value"))
+
+
 @query
 def kv_upsert(spark, sf):
     keys = ["snapshot", "path"]
@@ -588,6 +707,14 @@ def terasort_check(spark, sf):
     return out.select("pos", "l_orderkey", "l_linenumber")
 
 
+@query
+def total_sort(spark, sf):
+    """Line items in total order: rows, and neighbouring partitions that overlap."""
+    order = ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    checked = workloads.sort_check(workloads.total_sort(b.table(spark, sf, "lineitem"), order), order)
+    return checked.select("n_rows", "overlaps")
+
+
 @query
 def pi_hash(spark, sf):
     """Points hashed from the line items, so that the estimate can be checked."""

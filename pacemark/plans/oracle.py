@@ -82,6 +82,17 @@ LIFE = f"""{EV},
    window w as (partition by "cluster" order by k
      rows between unbounded preceding and 1 preceding))"""
 
+CARRY = f"""{LIFE}, cz as (select *, case when verb = 'STOP' and t - tslf > 0 then t - tslf end el from lg),
+ cy as (select *, coalesce(last_value(el ignore nulls) over (partition by "cluster", g order by k
+   rows between unbounded preceding and current row), 0) tebi from cz),
+ obs as (select event_id, us, "cluster", 'checkpoint' series, cast(trunc(value * 1000) as bigint) "value"
+   from ev where event_type = 'click'
+   union all select event_id, us, "cluster", 'mtbf', t - tslf + tebi from cy where verb = 'FAIL'),
+ oseq as (select *, row_number() over (partition by "cluster", series order by us, event_id) - 1 seq
+   from obs)"""
+
+CARRY_CAND = CARRY + CAND.removeprefix(OBS)
+
 RUNS = """r as (select l_orderkey, l_linenumber, l_returnflag benchmark,
   case l_linestatus when 'O' then 'AF' else 'DF' end phase, l_linenumber rep,
   cast(trunc(l_quantity) as int) as seconds, l_extendedprice mb from lineitem)"""
@@ -138,13 +149,13 @@ def _unit(start: int) -> str:
 
 
 ORACLE: dict[str, str] = {
-    "parse_messages": f"""with {EV}, x as (select event_id, cast(cast(floor(value) as bigint) as varchar) v,
+    "parse_messages": f"""with {EV}, x as (select event_id, t, cast(cast(floor(value) as bigint) as varchar) v,
         case when event_id % 97 = 0 then 1 when event_id % 101 = 0 then 2 when event_id % 103 = 0 then 3
         when event_id % 107 = 0 then 4 when event_id % 109 = 0 then 5 when event_id % 113 = 0 then 6
-        when event_type = 'signup' then 7 when event_type = 'error' then 8 else 4 end c from ev)
+        when event_id % 127 = 0 then 9 when event_type = 'signup' then 7 when event_type = 'error' then 8 else 4 end c from ev)
       select event_id, case c when 2 then null when 3 then 'UPDATE-RAM' when 6 then 'UPDATE-CC'
-        when 7 then 'IN' when 8 then 'OUT' else 'UPDATE' end verb,
-        case c when 3 then 'x' when 4 then v when 5 then '1a' when 6 then v end payload,
+        when 7 then 'IN' when 8 then 'OUT' when 9 then 'UPDATE-MTBF' else 'UPDATE' end verb,
+        case c when 3 then 'x' when 4 then v when 5 then '1a' when 6 then v when 9 then cast(t as varchar) end payload,
         case when c in (1, 5) then 'message_error' when c = 2 then 'unknown' else 'ok' end status from x""",
     "roster_live": f"""with {LIVE} select event_id, client, cast(live as int) live,
       cast(case verb when 'IN' then true when 'OUT' then was else live end as int) accepted from r""",
@@ -284,10 +295,13 @@ ORACLE: dict[str, str] = {
         avg(case when l_orderkey % 2 = 0 then seconds end) a,
         avg(case when l_orderkey % 2 <> 0 then seconds end) d from r group by 1)
       select benchmark, round(a, 4) mean_3600, round(d, 4) mean_10, round(d / a, 4) ratio from s""",
-    "io_consistency": f"""with {RUNS}, s as (select l_orderkey, 512.0 / sum(seconds) t,
-        avg(256.0 / seconds) a, stddev_pop(256.0 / seconds) s from r group by 1 having count(*) = 2)
-      select l_orderkey, round(t, 4) throughput,
-        cast(abs((a * a - s * s) / a - t) / t <= 1e-6 as int) consistent from s""",
+    "io_consistency": f"""with {RUNS}, s as (select l_orderkey, sum(mb) / sum(seconds) t, avg(mb / seconds) a,
+        stddev_pop(mb / seconds) s, 512.0 / max(seconds) x, 512.0 / min(seconds) y,
+        1024.0 / (max(seconds) + min(seconds)) * case when l_orderkey % 5 = 0 then 1.01 else 1 end u
+        from r group by 1),
+      d as (select *, (x + y) / 2 ea, abs(x - y) / 2 es from s)
+      select l_orderkey, round(u, 4) throughput, cast(abs((ea * ea - es * es) / ea - u) / u <= 1e-6 as int) consistent,
+        cast(abs((a * a - s * s) / a - t) / t <= 1e-6 as int) uneven from d""",
     "io_summary": f"""with {RUNS} select benchmark, phase, count(*) n_tasks, round(sum(mb), 2) total_mb,
       round(sum(mb) / sum(seconds), 2) throughput, round(avg(mb / seconds), 2) avg_io,
       round(stddev_pop(mb / seconds), 2) io_std from r group by 1, 2""",
@@ -352,6 +366,69 @@ ORACLE: dict[str, str] = {
         from p)
       select count(*) n, cast(sum(i) as bigint) hits, cast(sum(i * w) as bigint) sevens,
         round(4.0 * sum(i) / count(*), 6) pi from h""",
+    "total_sort": 'select count(*) n_rows, cast(0 as bigint) "overlaps" from lineitem',
+    "late_rows": f"""with {EV}, a as (select *, us + (event_id * 7919 % 7200) * 1000000 arrived from ev),
+      z as (select *, max(us) over (partition by "cluster" order by arrived, event_id
+        rows between unbounded preceding and 1 preceding) seen from a)
+      select event_id, "cluster", cast(coalesce(us < seen, false) as int) late from z""",
+    "scan_null_keys": f"""with {EV}, n as (select * replace (nullif("cluster", 3) as "cluster") from ev)
+      select event_id, "cluster", cast(sum(cast(floor(value) as bigint)) over w as bigint) total,
+        last_value(case when event_type = 'error' then event_id end ignore nulls) over w known,
+        lag(event_id) over (partition by "cluster" order by us, event_id) prior from n
+      window w as (partition by "cluster" order by us, event_id rows between unbounded preceding and current row)""",
+    "period_from_carry": _deadband(
+        f"""{CARRY_CAND}, cd as (select event_id, "cluster", period, row_number() over (partition by "cluster"
+          order by us, event_id) n from cand)""",
+        "abs(cd.period - f.lst) >= 5",
+    )
+    + """ select cd.event_id, cd."cluster", cd.period from f join cd
+      on cd."cluster" = f."cluster" and cd.n = f.n where f.emit""",
+    "controller_with_carry": _deadband(
+        f"""{CARRY_CAND}, {IO.removeprefix(EV + ",")}, cd as (select *, row_number() over (partition by "cluster"
+          order by us, event_id, kind) n from (
+          select event_id, us, "cluster", 0 kind, cast(period as bigint) period from io union all
+          select event_id, us, "cluster", 1, period from cand where "cluster" % 2 = 0) x)""",
+        "abs(cd.period - f.lst) >= case cd.kind when 0 then 1 else 5 end",
+    )
+    + """ select cd.event_id, cd."cluster", cd.kind, cd.period from f join cd
+      on cd."cluster" = f."cluster" and cd.n = f.n where f.emit""",
+    "period_deadband_steady": _deadband(
+        f"""{EV}, cd as (select event_id, "cluster" % 2 "cluster", 800 + 7 * (event_id // 2000)
+          + cast(floor(value) as bigint) % 3 period,
+          row_number() over (partition by "cluster" % 2 order by us, event_id) n from ev)""",
+        "abs(cd.period - f.lst) >= 5",
+    )
+    + """ select cd.event_id, cd."cluster", cd.period from f join cd
+      on cd."cluster" = f."cluster" and cd.n = f.n where f.emit""",
+    "step_period_table": f"""with {TOTAL} select event_id, "cluster", total, {STEP} period from tot""",
+    "run_labels": f"""with {RUNS}, k as (select *, (l_orderkey + rep) % 7 c, l_orderkey % 3 <> 0 titled from r)
+      select l_orderkey file, cast(rep as bigint) line_id, case c when 0 then 'TeraGen' when 1 then 'TestDFSIO'
+          when 2 then 'TestDFSIO' when 3 then 'TestDFSIOe' when 4 then 'Spark HiBench'
+          else case when titled then 'PageRank' end end benchmark,
+        case when c in (1, 3, 4) then phase end phase, case when c = 2 then 3600 end checkpoint_s,
+        rep, cast(seconds as double) as seconds, case when titled then 'large' end profile from k""",
+    "report_fields": """select l_orderkey, case when l_linenumber % 2 = 0 then 'read' else 'write' end op,
+        case l_linenumber % 3 when 2 then null when 0 then epoch_us(l_shipdate) // 1000000 + 10800
+          else epoch_us(l_shipdate) // 1000000 end run_s, l_linenumber n_files, l_extendedprice total_mb,
+        cast(l_quantity as double) throughput, l_discount avg_io, case when l_linenumber <> 4 then l_tax end io_std,
+        cast(l_partkey as double) exec_s from lineitem""",
+    "step_table": """select cast(o_orderkey as int) threshold, cast(year(o_orderdate) as int) period from orders
+      union all select -1, 500 from (select distinct o_custkey from orders) x""",
+    "file_lines": f"""with {LINES}, k as (select doc_id, pos, len("text") n from ln where contains("text", '|'))
+      select doc_id file, row_number() over (partition by doc_id order by pos) line_no, cast(n as int) n_chars from k
+      union all select doc_id, null, null from documents where doc_id not in (select doc_id from k)""",
+    "kv_nest_region": """with sp as (select r_name r, n_name n, trim(s_name) s, '/' || r_name || '/' || n_name || '/'
+          || trim(s_name) || '/' path, cast(s_suppkey as varchar) "value"
+        from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey),
+      a as (select r, n, string_agg('"' || s || '": ["' || "value" || '", "' || path || '", {}]',
+        ', ' order by s) x from sp group by 1, 2),
+      b as (select r, string_agg('"' || n || '": ["", "/' || r || '/' || n || '/", {' || x || '}]',
+        ', ' order by n) x from a group by 1)
+      select r "snapshot", '{"/": ["", "/", {"' || r || '": ["", "/' || r || '/", {' || x || '}]}]}' doc from b""",
+    "kv_flatten_texts": """select doc_id "snapshot", 2 depth, '/' || lang || '/' || doc_id || '/' path,
+        md5("text") "value" from documents
+      union all select doc_id, 1, '/' || lang || '/', md5('') from documents
+      union all select doc_id, 0, '/', md5('') from documents""",
     "uniq_consecutive": f"""with {EV}, z as (select *, lag(event_type) over (partition by "cluster"
       order by us, event_id) prior from ev)
       select event_id, "cluster", event_type from z where prior is distinct from event_type""",

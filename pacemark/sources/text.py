@@ -17,7 +17,8 @@ from pacemark.operators.ordered import row_number, scan
 NAMENODE_LOGS = r"log-nn-([0-9]+).txt"
 SECONDARY_LOGS = r"log-snn-([0-9]+).txt"
 CUMULATIVE_LOGS = r"nn([0-9]+).log"
-ZONES = {"BRT": "-03:00"}
+ZONES = {"BRT": "-03:00", "UTC": "+00:00", "GMT": "+00:00"}
+REPORT_HEADER = "----- TestDFSIO ----- : "
 HEADERS = {
     "header_benchmark": r"^-+ (\w+) benchmark -+$",
     "profile": r"^Profile: (\S+)$",
@@ -50,7 +51,7 @@ def log_files(spark: SparkSession, folder: str, name: str = ".*") -> DataFrame:
 def _file_no(file, name: str):
     if "(" not in name:
         return F.lit(None).cast("int")
-    return F.nullif(F.regexp_extract(file, f"^(?:{name})", 1), F.lit("")).cast("int")
+    return F.nullif(F.regexp_extract(file, f"^(?:{name})", 1), F.lit("")).try_cast("int")
 
 
 def log_lines(spark: SparkSession, folder: str, name: str = ".*") -> DataFrame:
@@ -118,8 +119,24 @@ def last_token_values(
 
 
 def report_blocks(spark: SparkSession, path: str, zones: dict[str, str] = ZONES) -> DataFrame:
-    """Benchmark reports, one row per block; blocks are separated by an empty line."""
-    block = F.col("value")
+    """Benchmark reports, one row per block; a block goes from its header line to the next one.
+
+    The header parts the records of the reader, so large files are split and empty lines mean nothing.
+    """
+    blocks = spark.read.option("lineSep", REPORT_HEADER).text(path)
+    # what stands before the first header is no block
+    return report_fields(blocks.where(F.col("value").rlike(r"^\w+\s*(?:\n|$)")), "value", zones)
+
+
+def split_reports(texts: DataFrame, text: str = "text", name: str = "block") -> DataFrame:
+    """The blocks of texts that hold whole reports, one row each, without their headers' fixed part."""
+    pieces = F.split(text, "(?:^|\\n)" + REPORT_HEADER)
+    return texts.withColumn(name, F.explode(F.slice(pieces, 2, F.size(pieces)))).drop(text)
+
+
+def report_fields(blocks: DataFrame, text: str = "block", zones: dict[str, str] = ZONES) -> DataFrame:
+    """Fields of report blocks. The time is NULL if the block's time zone is not among ``zones``."""
+    block = F.col(text)
 
     def field(label: str, kind: str):
         found = F.regexp_extract(block, rf"(?m){label}:\s*(\S+)\s*$", 1)
@@ -127,29 +144,25 @@ def report_blocks(spark: SparkSession, path: str, zones: dict[str, str] = ZONES)
 
     when = r"Date & time: \w+ (\w+ +\d+ [\d:]+) (\w+) (\d{4})"
     zone = F.regexp_extract(block, when, 2)
-    offset = F.coalesce(
-        *[F.when(zone == name, value) for name, value in zones.items()], F.lit("+00:00")
-    )
-    stamp = F.concat_ws(
-        " ",
+    offset = F.coalesce(*[F.when(zone == name, value) for name, value in zones.items()])
+    stamp = F.concat(
         F.regexp_replace(F.regexp_extract(block, when, 1), " +", " "),
+        F.lit(" "),
         F.regexp_extract(block, when, 3),
+        F.lit(" "),
         offset,
     )
-    return (
-        spark.read.option("lineSep", "\n\n")
-        .text(path)
-        .where(block.contains("-----"))
-        .select(
-            F.regexp_extract(block, r"-----\s*:\s*(\w+)", 1).alias("op"),
-            F.try_to_timestamp(stamp, F.lit("MMM d HH:mm:ss yyyy XXX")).alias("run_ts"),
-            field("Number of files", "int").alias("n_files"),
-            field("Total MBytes processed", "double").alias("total_mb"),
-            field("Throughput mb/sec", "double").alias("throughput"),
-            field("Average IO rate mb/sec", "double").alias("avg_io"),
-            field("IO rate std deviation", "double").alias("io_std"),
-            field("Test exec time sec", "double").alias("exec_s"),
-        )
+    others = [c for c in blocks.columns if c != text]
+    return blocks.select(
+        *others,
+        F.regexp_extract(block, r"^(\w+)", 1).alias("op"),
+        F.try_to_timestamp(stamp, F.lit("MMM d HH:mm:ss yyyy XXX")).alias("run_ts"),
+        field("Number of files", "int").alias("n_files"),
+        field("Total MBytes processed", "double").alias("total_mb"),
+        field("Throughput mb/sec", "double").alias("throughput"),
+        field("Average IO rate mb/sec", "double").alias("avg_io"),
+        field("IO rate std deviation", "double").alias("io_std"),
+        field("Test exec time sec", "double").alias("exec_s"),
     )
 
 
@@ -163,4 +176,4 @@ def step_table(texts: DataFrame, text: str = "text") -> DataFrame:
                 F.regexp_extract_all(text, F.lit(pair), 2).alias("b"),
             )
         ).alias("p")
-    ).select(F.col("p.a").cast("int").alias("threshold"), F.col("p.b").cast("int").alias("period"))
+    ).select(F.col("p.a").try_cast("int").alias("threshold"), F.col("p.b").try_cast("int").alias("period"))
