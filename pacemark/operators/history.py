@@ -70,10 +70,14 @@ def ring_current(
 ) -> DataFrame:
     """Content of the ring: the last ``n`` observations of each series with their ``slot``.
 
+    The slot follows from ``seq`` where the observations have it, else from their number.
+
     The row-number limit is applied before the shuffle, so a series sends at most ``n`` rows per task.
     """
     latest = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
     last = df.withColumn("_age", F.row_number().over(latest)).where(F.col("_age") <= n)
+    if "seq" in df.columns:
+        return last.withColumn("slot", (F.col("seq") % n).cast("int")).drop("_age")
     counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
     return (
         last.join(counts, list(keys))
@@ -202,7 +206,8 @@ def restore(
     """Observations going on after a restart: ring content of a snapshot, then the live rows.
 
     ``seeds`` holds ``slot``, ``value`` and the ring ``pointer`` of each series. The slot after the
-    pointer is the oldest. Adds ``restored`` and ``seq``; seed rows have negative order values.
+    pointer is the oldest. Adds ``restored`` and ``seq``; seed rows have negative order values. ``seq``
+    goes on from the pointer, so ``seq % n`` is the slot in the stored ring.
     """
     age = F.pmod(F.col("slot") - F.col("pointer") - 1, F.lit(n))
     first, second = order[0], order[-1]
@@ -216,7 +221,37 @@ def restore(
     )
     columns = seeded.columns
     going_on = live.withColumn("restored", F.lit(False)).select(*columns)
-    return number(seeded.unionByName(going_on), keys, order, slice_col)
+    numbered = number(seeded.unionByName(going_on), keys, order, slice_col)
+    # the newest seed has the pointer's slot
+    first = seeds.groupBy(*keys).agg(
+        F.pmod(F.max("pointer") - F.count("*") + 1, F.lit(n)).cast("bigint").alias("_first")
+    )
+    first = first.select(F.struct(*keys).alias("_series"), "_first")
+    known = numbered.join(first, F.struct(*keys) == F.col("_series"), "left").drop("_series")
+    return known.withColumn("seq", F.col("seq") + F.coalesce("_first", F.lit(0))).drop("_first")
+
+
+def failure_clock(
+    df: DataFrame, t: str = "t", keys: Sequence[str] = CLUSTER, order: Sequence[str] = ORDER
+) -> DataFrame:
+    """Where the clock of `tbf_carry_last` stands after all rows of a key: ``anchor, elapsed, running``.
+
+    ``anchor`` is the last START or counted failure, ``elapsed`` what the last STOP stored since then.
+    """
+    verb = F.col("verb")
+    base = _lifecycle(df, t, keys, order, SLICE)
+    anchor = F.when((verb == START) | F.col("_fails"), F.col(t))
+    known = scan(base, keys, order, {"_tslf": last_known(anchor, before=True)})
+    gone = F.col(t) - F.col("_tslf")
+    stored = F.when(F.col("_fails"), F.lit(0).cast("bigint")).when((verb == STOP) & (gone > 0), gone)
+    at = F.struct(*order)
+    return known.groupBy(*keys).agg(
+        F.max_by(anchor, F.when(anchor.isNotNull(), at)).alias("anchor"),
+        F.coalesce(F.max_by(stored, F.when(stored.isNotNull(), at)), F.lit(0)).alias("elapsed"),
+        F.coalesce(
+            F.max_by(verb == START, F.when(verb.isin(START, STOP), at)), F.lit(False)
+        ).alias("running"),
+    )
 
 
 def restored_period(value: Column, default: int = 0) -> Column:

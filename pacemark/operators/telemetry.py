@@ -28,38 +28,41 @@ CLIENT = ("client", "cluster")  # the more selective key first: sorts compare it
 # Verbs of the protocol.
 IN, OUT, UPDATE = "IN", "OUT", "UPDATE"
 WITH_PAYLOAD = ["UPDATE", "UPDATE-RAM", "UPDATE-CC", "UPDATE-MTBF"]
+TIMES = ["UPDATE-CC", "UPDATE-MTBF", "START", "STOP"]
 
 OK, MESSAGE_ERROR, UNKNOWN = "ok", "message_error", "unknown"
 
 
-def parse_messages(df: DataFrame, msg: str = "msg") -> DataFrame:
+def parse_messages(df: DataFrame, msg: str = "msg", lifecycle: bool = False) -> DataFrame:
     """Add ``verb``, ``payload`` and ``status``.
 
     ``IN`` and ``OUT`` match as a whole, the other verbs up to the first colon; the payload is the
     second colon field. A missing payload, or one of ``UPDATE`` that is no integer, is a message error;
     a cost or failure time that is no number too. RAM payloads may be anything (see `ram_percent`).
+    With ``lifecycle``, ``START`` and ``STOP`` with a time are verbs as well.
     """
+    known = [*WITH_PAYLOAD, *(["START", "STOP"] if lifecycle else [])]
     text = F.col(msg)
     head = F.substring_index(text, ":", 1)
     payload = F.try_element_at(F.split(text, ":"), F.lit(2))
     verb = (
         F.when(text.isin(IN, OUT), text)
-        .when(head.isin(*WITH_PAYLOAD), head)
+        .when(head.isin(*known), head)
     )
     bad_number = (
         F.when(verb == UPDATE, F.trim(payload).try_cast("bigint").isNull())
-        .when(verb.isin("UPDATE-CC", "UPDATE-MTBF"), F.trim(payload).try_cast("double").isNull())
+        .when(verb.isin(*TIMES), F.trim(payload).try_cast("double").isNull())
         .otherwise(False)
     )
     status = (
         F.when(verb.isNull(), UNKNOWN)
-        .when(verb.isin(*WITH_PAYLOAD) & (payload.isNull() | bad_number), MESSAGE_ERROR)
+        .when(verb.isin(*known) & (payload.isNull() | bad_number), MESSAGE_ERROR)
         .otherwise(OK)
     )
     return df.withColumns(
         {
             "verb": verb,
-            "payload": F.when(verb.isin(*WITH_PAYLOAD), payload),
+            "payload": F.when(verb.isin(*known), payload),
             "status": status,
         }
     )

@@ -43,7 +43,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return configured
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
+        if not (sc.master == "local" or sc.master.startswith("local[")):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="pacemark-ckpt-"))
     return sc.getCheckpointDir()

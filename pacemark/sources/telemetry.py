@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 # Columns of a recorded message.
-MESSAGE = "cluster bigint, client bigint, ts timestamp, us bigint, event_id bigint, msg string"
+MESSAGE = "cluster string, client string, ts timestamp, us bigint, event_id bigint, msg string"
 
 
 def messages(spark: SparkSession, path: str) -> DataFrame:

@@ -8,8 +8,13 @@ ordered before the batch:
 * ``rings``: the last N observations of each series,
 * ``clusters``: announced period, last failure time and last processed position.
 
-State and output are written under the number of the batch, and a batch reads the state of its
-predecessor. A batch that is repeated after a failure replaces what it wrote the first time.
+State and output are written under the stream and the number of the batch, and a batch reads the newest
+state that is not its own. A batch that is repeated after a failure replaces what it wrote the first time;
+a stream with a new checkpoint goes on from the state of the one before.
+
+With ``carry``, START and STOP messages count: the time between failures is taken from the START or the
+failure before, plus the running time that a STOP stored. The state then holds the anchor, the stored time
+and whether the supervisor runs.
 """
 
 from __future__ import annotations
@@ -29,15 +34,15 @@ from pacemark.functions.periods import (
 from pacemark.operators import history, policy, telemetry
 from pacemark.operators.ordered import SLICE, Slices
 from pacemark.session import cut
-from pacemark.sources.sinks import prune_versions, read_version, write_version
+from pacemark.sources.sinks import read_version, stream_of, write_batch, write_version
 
 ORDER = list(telemetry.ORDER)
 SERIES = list(history.SERIES)
-CLIENTS = "cluster bigint, client bigint, latest bigint"
-RINGS = "cluster bigint, series string, slot int, value bigint, pointer int"
+CLIENTS = "cluster string, client string, latest bigint"
+RINGS = "cluster string, series string, slot int, value bigint, pointer int"
 CLUSTERS = (
-    "cluster bigint, period bigint, failed_at bigint, last_us bigint, last_event_id bigint, "
-    "ram double"
+    "cluster string, period bigint, failed_at bigint, last_us bigint, last_event_id bigint, "
+    "ram double, elapsed bigint, running boolean"
 )
 
 
@@ -52,29 +57,31 @@ class Supervisor:
     history: int = HISTORY_LENGTH
     dynamic: bool = True
     compat: bool = False
+    carry: bool = False
     rows_per_slice: int = 2_000_000
 
     def table(self, name: str) -> str:
         return f"{self.folder}/{name}"
 
-    def state(self, spark: SparkSession, name: str, schema: str, before: int) -> DataFrame:
-        return read_version(spark, self.table(name), schema, before)
+    def state(self, spark: SparkSession, name: str, schema: str, stream: str, batch: int) -> DataFrame:
+        return read_version(spark, self.table(name), schema, stream, batch)
 
     def seed(self, clients: DataFrame, rings: DataFrame, clusters: DataFrame) -> None:
         """Begin from given state tables (a restored snapshot) instead of from nothing."""
         for name, df in (("clients", clients), ("rings", rings), ("clusters", clusters)):
-            write_version(df, self.table(name), -1)
+            write_version(df, self.table(name), -1, "seed")
 
     def process(self, messages: DataFrame, batch: int) -> None:
         """Work off one batch of messages (columns of the telemetry source)."""
         spark = messages.sparkSession
-        clients = self.state(spark, "clients", CLIENTS, batch)
-        rings = self.state(spark, "rings", RINGS, batch)
-        clusters = self.state(spark, "clusters", CLUSTERS, batch)
+        stream = stream_of(messages)
+        clients = self.state(spark, "clients", CLIENTS, stream, batch)
+        rings = self.state(spark, "rings", RINGS, stream, batch)
+        clusters = self.state(spark, "clusters", CLUSTERS, stream, batch)
 
         position = F.struct(F.col("us"), F.col("event_id"))
         done = F.struct(F.col("last_us").alias("us"), F.col("last_event_id").alias("event_id"))
-        parsed = telemetry.parse_messages(messages)
+        parsed = telemetry.parse_messages(messages, lifecycle=self.carry)
         known = cut(
             parsed.join(clusters.select("cluster", "last_us", "last_event_id"), "cluster", "left")
             .withColumn("late", F.coalesce(position <= done, F.lit(False)))
@@ -136,7 +143,8 @@ class Supervisor:
             ),
             batch,
         )
-        self._save("clusters", self._clusters(clusters, on_time, rows, announced, alerts), batch)
+        after = self._clusters(clusters, on_time, rows, announced, alerts)
+        self._save("clusters", after, batch)
 
     def run(self, messages: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         """Start supervising a message stream, by default with all data that is there."""
@@ -152,11 +160,10 @@ class Supervisor:
         return spark.read.parquet(self.table(name))
 
     def _write(self, df: DataFrame, name: str, batch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.table(name)}/batch={batch}")
+        write_batch(df, self.table(name), batch)
 
     def _save(self, name: str, df: DataFrame, batch: int) -> None:
         write_version(df, self.table(name), batch)
-        prune_versions(df.sparkSession, self.table(name), keep=3)
 
     @staticmethod
     def _agent_rows(rows: DataFrame, clients: DataFrame) -> DataFrame:
@@ -182,7 +189,7 @@ class Supervisor:
             "cluster",
             "client",
             F.col("us").cast("bigint").alias("us"),
-            F.col("client").alias("event_id"),
+            F.xxhash64("client").alias("event_id"),
             F.lit(-1).cast("bigint").alias(SLICE),
             "verb",
             F.col("v").cast("bigint").alias("v"),
@@ -210,9 +217,51 @@ class Supervisor:
             F.col("failed_at").alias("t"),
             F.lit(None).cast("bigint").alias("value"),
         )
-        live = policy.observe(fresh.unionByName(before)).drop("seq")
+        if self.carry:
+            gaps = self._lifecycle(rows, clusters)
+            carried = history.tbf_carry_last(gaps).where("us >= 0")
+            costs = fresh.where(F.col("series") == policy.COST)
+            live = policy.observe_carried(costs, carried).drop("seq")
+        else:
+            live = policy.observe(fresh.unionByName(before)).drop("seq")
         return history.restore(rings, live, self.history, SERIES, ORDER)
 
+    @staticmethod
+    def _lifecycle(rows: DataFrame, clusters: DataFrame) -> DataFrame:
+        """STARTs, STOPs and failures of the batch after rows that lead to the stored state."""
+        verb = F.col("verb")
+        fresh = rows.where(verb.isin("START", "STOP", "UPDATE-MTBF")).select(
+            "cluster",
+            *ORDER,
+            SLICE,
+            F.when(verb == "UPDATE-MTBF", history.FAIL).otherwise(verb).alias("verb"),
+            history.whole(F.trim("payload")).alias("t"),
+        )
+        anchor, stored = F.col("failed_at"), F.coalesce("elapsed", F.lit(0))
+
+        def row(us: int, verb: str, t):
+            return F.struct(F.lit(us).cast("bigint").alias("us"), F.lit(verb).alias("verb"), t.alias("t"))
+
+        # a supervisor that ran for the stored time and stopped, and the anchor of one that runs
+        stopped = [row(-3, history.START, anchor - stored), row(-2, history.STOP, anchor)]
+        paused = [row(-3, history.START, anchor), row(-2, history.STOP, anchor + stored)]
+        going = [*stopped, row(-1, history.START, anchor)]
+        seeds = clusters.where(anchor.isNotNull()).select(
+            "cluster",
+            F.inline(F.when(F.coalesce("running", F.lit(True)), F.array(*going)).otherwise(F.array(*paused))),
+        )
+        return fresh.unionByName(
+            seeds.withColumns(
+                {"event_id": F.col("us"), SLICE: F.lit(-1).cast("bigint")}
+            ).select(*fresh.columns)
+        )
+
+    def _clock(self, rows: DataFrame, clusters: DataFrame) -> DataFrame:
+        """Anchor, stored time and running state of each cluster after the batch (with ``carry``)."""
+        return history.failure_clock(self._lifecycle(rows, clusters)).select(
+            "cluster", F.col("anchor").alias("_failed"), F.col("elapsed").alias("_elapsed"), F.col("running").alias("_running")
+        )
+
     def _clusters(
         self,
         before: DataFrame,
@@ -230,7 +279,10 @@ class Supervisor:
             rows.where(F.col("verb") == "UPDATE-MTBF")
             .groupBy("cluster")
             .agg(F.max_by(history.whole(F.trim("payload")), at).alias("_failed"))
+            .withColumns({"_elapsed": F.lit(None).cast("bigint"), "_running": F.lit(None).cast("boolean")})
         )
+        if self.carry:
+            failed = self._clock(rows, before)
         ram = alerts.groupBy("cluster").agg(F.max_by("ram", at).alias("_ram"))
         joined = before.join(last, "cluster", "full")
         for part in (period, failed, ram):
@@ -242,6 +294,8 @@ class Supervisor:
             F.coalesce("_at.us", "last_us").alias("last_us"),
             F.coalesce("_at.event_id", "last_event_id").alias("last_event_id"),
             F.coalesce("_ram", "ram").alias("ram"),
+            F.coalesce("_elapsed", "elapsed").alias("elapsed"),
+            F.coalesce("_running", "running").alias("running"),
         )
 
 
@@ -254,10 +308,10 @@ def skip_first_batches(folder: str, keys: list[str], schema: str):
 
     def write(df: DataFrame, batch: int) -> None:
         spark = df.sparkSession
-        seen = read_version(spark, f"{folder}/seen", schema, batch)
+        seen = read_version(spark, f"{folder}/seen", schema, stream_of(df), batch)
         old = df.join(seen, keys, "left_semi")
         new = telemetry.skip_first_notice(df.join(seen, keys, "left_anti"), keys, ORDER)
-        old.unionByName(new).write.mode("overwrite").parquet(f"{folder}/notices/batch={batch}")
+        write_batch(old.unionByName(new), f"{folder}/notices", batch)
         write_version(seen.unionByName(df.select(*keys)).distinct(), f"{folder}/seen", batch)
 
     return write

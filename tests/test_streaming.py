@@ -31,7 +31,7 @@ def make_messages(seed, n=1500, clusters=3, clients=6):
             msg = f"UPDATE-RAM:{rng.choice(['41.5', 'x'])}"
         else:
             msg = rng.choice(["UPDATE", "HELLO", "UPDATE:zz"])
-        rows.append((cluster, client, t // 1_000_000, t, i, msg))
+        rows.append((f"c{cluster}", f"host{client}:70{client}", t // 1_000_000, t, i, msg))
     return rows
 
 
@@ -104,29 +104,29 @@ def test_repeated_batch_and_late_rows(spark, tmp_path):
 def test_seeded_state(spark, tmp_path):
     sup = Supervisor(str(tmp_path / "out"), history=3)
     sup.seed(
-        spark.createDataFrame([(0, 1, 70)], CLIENTS),
+        spark.createDataFrame([("0", "1", 70)], CLIENTS),
         spark.createDataFrame(
-            [(0, "checkpoint", s, v, 1) for s, v in enumerate([3000, 4000, 2000])]
-            + [(0, "mtbf", 0, 100, 0)],
+            [("0", "checkpoint", s, v, 1) for s, v in enumerate([3000, 4000, 2000])]
+            + [("0", "mtbf", 0, 100, 0)],
             RINGS,
         ),
-        spark.createDataFrame([(0, 36, 1000, 0, 0, None)], CLUSTERS),
+        spark.createDataFrame([("0", 36, 1000, 0, 0, None, None, None)], CLUSTERS),
     )
-    rows = [(0, 1, 2000, 2_000_000_000, 1, "UPDATE:75"), (0, 1, 2001, 2_001_000_000, 2, "UPDATE-MTBF:1300")]
+    rows = [("0", "1", 2000, 2_000_000_000, 1, "UPDATE:75"), ("0", "1", 2001, 2_001_000_000, 2, "UPDATE-MTBF:1300")]
     df = spark.createDataFrame(rows, MESSAGE.replace("ts timestamp", "ts bigint")).withColumn(
         "ts", F.timestamp_seconds("ts")
     )
     sup.process(df, 0)
     # mean cost 3 s, mean gap (100 + 300) / 2: floor(sqrt(2 * 3 * 200)) = 34, inside the dead-band of 36
-    assert found(spark, sup, "totals", "event_id", "total") == {0: [(1, 75)]}
+    assert found(spark, sup, "totals", "event_id", "total") == {"0": [(1, 75)]}
     assert sup.read(spark, "announced").count() == 0
     ring = sinks.read_version(spark, sup.table("rings"), RINGS).where("series = 'mtbf'").collect()
     assert sorted((r.slot, r.value, r.pointer) for r in ring) == [(0, 100, 1), (1, 300, 1)]
 
 
 def test_rate_windows(spark, tmp_path):
-    rows = [(0, 1, 0, 0, 1, "UPDATE:10"), (0, 1, 30, 1, 2, "UPDATE:20"), (0, 1, 700, 2, 3, "UPDATE:5"),
-            (0, 1, 5000, 3, 4, "UPDATE:1")]
+    rows = [("0", "1", t, i, i + 1, m) for i, (t, m) in enumerate(
+        [(0, "UPDATE:10"), (30, "UPDATE:20"), (700, "UPDATE:5"), (5000, "UPDATE:1")])]
     write_files(spark, rows, str(tmp_path / "in"), 1)
     out = rate_windows(message_stream(spark, str(tmp_path / "in")))
     q = (
@@ -159,3 +159,59 @@ def test_skip_first_and_upsert_streams(spark, tmp_path):
     sinks.append(two, str(tmp_path / "plain"))
     assert spark.read.parquet(str(tmp_path / "log")).count() == 5
     assert spark.read.parquet(str(tmp_path / "plain")).count() == 5
+
+
+def test_a_new_checkpoint_loses_nothing(spark, tmp_path):
+    rows = make_messages(4, 400)
+    write_files(spark, rows[:200], str(tmp_path / "a"), 1)
+    write_files(spark, rows[200:], str(tmp_path / "b"), 1)
+    sup = Supervisor(str(tmp_path / "out"), history=7)
+    for part in ("a", "b"):  # two streams, each with a batch 0
+        sup.run(message_stream(spark, str(tmp_path / part)), str(tmp_path / f"ck-{part}")).awaitTermination()
+    want = model(rows, n=7)
+    assert found(spark, sup, "totals", "us", "event_id", "total") == {k: sorted(c.totals) for k, c in want.items()}
+    assert found(spark, sup, "announced", "us", "event_id", "period") == {k: sorted(c.announced) for k, c in want.items()}
+
+
+def test_versions_and_older_batches(spark, tmp_path):
+    path = str(tmp_path / "kv")
+    one = spark.createDataFrame([("/a/", "1")], "path string, value string")
+    for stream, batch in [("x", 0), ("x", 1), ("y", 0), ("y", 1), ("y", 2), ("y", 2)]:
+        before = sinks.read_version(spark, path, sinks.SHAPE, stream, batch)
+        sinks.write_version(before.unionByName(one), path, batch, stream)
+    assert sinks.read_version(spark, path, sinks.SHAPE).count() == 5  # the repeated batch counts once
+    assert len(sinks._versions(spark, path)) == 3
+    with pytest.raises(ValueError):
+        sinks.write_version(one, path, 1, "y")
+
+
+@pytest.mark.parametrize("cuts", [[], [3, 7]])
+def test_starts_and_stops_in_streams(spark, tmp_path, cuts):
+    """The same announcements and rings whether lifecycle messages come in one batch or in several."""
+    steps = [
+        ("START", 1000), ("UPDATE-CC", 4000), ("STOP", 1100), ("START", 1200), ("UPDATE-MTBF", 1250),
+        ("UPDATE-MTBF", 1400), ("STOP", 1430), ("STOP", 1440), ("UPDATE-MTBF", 1445), ("START", 1500), ("UPDATE-MTBF", 1550),
+    ]
+    rows = [("c", "h", i, i * 1_000_000, i, f"{v}:{t}") for i, (v, t) in enumerate(steps)]
+    df = spark.createDataFrame(rows, MESSAGE.replace("ts timestamp", "ts bigint")).withColumn("ts", F.timestamp_seconds("ts"))
+    sup = Supervisor(str(tmp_path / "out"), history=3, carry=True)
+    for batch, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(rows)])):
+        sup.process(df.where(F.col("event_id").between(a, b - 1)), batch)
+    ring = sinks.read_version(spark, sup.table("rings"), RINGS).where("series = 'mtbf'").collect()
+    # 50 + 100 stored at the first STOP; 150; 50 + 40 stored at the second of two STOPs
+    assert sorted((r.slot, r.value, r.pointer) for r in ring) == [(0, 150, 2), (1, 150, 2), (2, 90, 2)]
+    state = sinks.read_version(spark, sup.table("clusters"), CLUSTERS).first()
+    assert (state.failed_at, state.elapsed, state.running) == (1550, 0, True)
+    assert [r.period for r in sup.read(spark, "announced").orderBy("us").collect()] == [34]
+
+
+def test_slots_go_on_after_a_restore(spark):
+    from pacemark.operators import history
+
+    seeds = spark.createDataFrame([("c", "s", i, v, 1) for i, v in [(0, 40), (1, 50), (2, 30)]], "cluster string, series string, slot int, value bigint, pointer int")
+    live = spark.createDataFrame([("c", "s", 10, 1, 60, 0), ("c", "s", 11, 2, 70, 0), ("d", "s", 11, 3, 5, 0)], "cluster string, series string, us bigint, event_id bigint, value bigint, slice bigint")
+    out = history.restore(seeds, live, 3)
+    slots = {(r.cluster, r.value): r.seq % 3 for r in out.collect()}
+    assert slots == {("c", 30): 2, ("c", 40): 0, ("c", 50): 1, ("c", 60): 2, ("c", 70): 0, ("d", 5): 0}
+    ring = history.ring_current(out, 3)
+    assert {(r.cluster, r.value): r.slot for r in ring.collect()} == {("c", 50): 1, ("c", 60): 2, ("c", 70): 0, ("d", 5): 0}
