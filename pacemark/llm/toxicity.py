@@ -3,11 +3,13 @@
 The classifiers learn from confirmed toxic texts (positive) and from unlabelled text, which holds toxic
 texts too. With the class prior p the risk of a scorer g is ``p E+[l(g)] + max(0, Eu[l(-g)] - p E+[l(-g)])``:
 the second part is the risk on clean text, written by what is known, and clipped since a true risk is
-not negative. When a step's part falls below zero, it is walked back instead.
+not negative. When a step's part falls below zero, it is walked back instead. The loss l is the sigmoid,
+which is bounded: chance differences between the positive texts and those among the unlabelled ones then
+stay small, while a logistic loss grows with g and holds sure scores back.
 
 A feature is a word or its first 3, 4, 5 or 6 letters, weighed by ``log(1 + count)``; those that tell
 positive from unlabelled texts best are chosen by counts over the sample. Scores are the mean of a few
-logistic models trained on seeded resamples, between 0 and 1. Only the text enters a score.
+linear models trained on seeded resamples and taken through the logistic function, between 0 and 1. Only the text enters a score.
 
 The fit uses at most ``MAX_POSITIVE`` positive and ``MAX_UNLABELLED`` unlabelled texts, taken in the
 order of a seeded hash of their ids; these bounds are parameters. Scoring reads every whole text.
@@ -70,7 +72,7 @@ class Model:
         z = self.weights[:, -1].copy()
         for f, n in sorted(counts.items()):
             z += self.weights[:, f] * np.log1p(n)
-        return float(np.mean(1 / (1 + np.exp(-np.clip(z, -500, 500)))))
+        return float(np.mean(_sigmoid(z)))
 
 
 def held_out(doc_id: str | Column) -> Column:
@@ -78,11 +80,15 @@ def held_out(doc_id: str | Column) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
 
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
+
 def nnpu(
-    pos: np.ndarray, unl: np.ndarray, prior: float, seed: int, epochs: int = 40, rate: float = 0.05,
-    ridge: float = 1e-4,
+    pos: np.ndarray, unl: np.ndarray, prior: float, seed: int, epochs: int = 40, rate: float = 0.02,
+    ridge: float = 1e-5,
 ) -> np.ndarray:
-    """Logistic weights (constant last) by Adam on the non-negative risk; rows are feature vectors."""
+    """Linear weights (constant last) by Adam on the non-negative risk; rows are feature vectors."""
     rng = np.random.default_rng(seed)
     pos = np.hstack([pos, np.ones((len(pos), 1))])[rng.integers(0, len(pos), len(pos))]
     unl = np.hstack([unl, np.ones((len(unl), 1))])[rng.integers(0, len(unl), len(unl))]
@@ -95,12 +101,11 @@ def nnpu(
             np.array_split(rng.permutation(len(pos)), steps), np.array_split(rng.permutation(len(unl)), steps)
         ):
             p, u = pos[up if len(up) else rng.integers(0, len(pos), 8)], unl[uu]
-            zp, zu = p @ w, u @ w
-            sp, su = 1 / (1 + np.exp(-np.clip(zp, -500, 500))), 1 / (1 + np.exp(-np.clip(zu, -500, 500)))
-            clean = np.mean(np.logaddexp(0, zu)) - prior * np.mean(np.logaddexp(0, zp))
-            of_clean = u.T @ su / len(u) - prior * (p.T @ sp) / len(p)
-            of_toxic = prior * (p.T @ (sp - 1)) / len(p)
-            g = of_toxic + of_clean if clean >= 0 else -of_clean
+            sp, su = _sigmoid(p @ w), _sigmoid(u @ w)  # losses of calling a text clean
+            clean = np.mean(su) - prior * np.mean(sp)
+            of_positive = prior * (p.T @ (sp * (1 - sp))) / len(p)
+            of_clean = u.T @ (su * (1 - su)) / len(u) - of_positive
+            g = of_clean - of_positive if clean >= 0 else -of_clean
             g[:-1] += ridge * w[:-1]
             t += 1
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
