@@ -13,8 +13,6 @@ from pacemark.operators.policy import observe
 CLUSTERS = 8
 SUPPLIERS_PER_SNAPSHOT = 50
 
-_plans: dict[tuple[str, str, tuple[str, ...]], Slices] = {}
-
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
@@ -22,12 +20,9 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def sliced(df: DataFrame, sf: str, name: str, order: tuple[str, ...]) -> DataFrame:
-    """Add slices; their cut points are planned once per table, since they affect balance only."""
-    key = (sf, name, order)
-    if key not in _plans:
-        _plans[key] = Slices.plan(df, order)
-    return _plans[key].assign(df)
+def sliced(df: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """Add slices, planned from the rows as they are now."""
+    return Slices.plan(df, order).assign(df)
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
@@ -41,7 +36,7 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
         "event_type",
         "value",
     )
-    rows = sliced(base, sf, "events", ("us", "event_id"))
+    rows = sliced(base, ("us", "event_id"))
     return rows.withColumns(
         {
             "t": F.expr("us div 1000000"),

@@ -151,7 +151,7 @@ def late_rows(spark, sf):
     """Events that arrive up to two hours after they happened."""
     delay = F.pmod(F.col("event_id") * 7919, F.lit(7200)) * 1_000_000
     rows = b.events(spark, sf).withColumn("arrived", F.col("us") + delay)
-    rows = b.sliced(rows.drop("slice"), sf, "arrivals", ("arrived", "event_id"))
+    rows = b.sliced(rows.drop("slice"), ("arrived", "event_id"))
     out = telemetry.late_rows(rows, "us", ["arrived", "event_id"])
     return out.select("event_id", "cluster", _int("late"))
 
@@ -703,7 +703,7 @@ def terasort_check(spark, sf):
         "l_partkey",
     )
     order = ("s", "k", "l_partkey", "l_suppkey")
-    out = workloads.sort_positions(b.sliced(rows, sf, "lineitem", ("s", "k")), order)
+    out = workloads.sort_positions(b.sliced(rows, ("s", "k")), order)
     return out.select("pos", "l_orderkey", "l_linenumber")
 
 
@@ -753,7 +753,7 @@ def batch_capacity(spark, sf):
 @query
 def seq_ids(spark, sf):
     rows = b.table(spark, sf, "orders").select("o_orderkey")
-    out = lists.sequence_ids(b.sliced(rows, sf, "orders", ("o_orderkey",)), ["o_orderkey"])
+    out = lists.sequence_ids(b.sliced(rows, ("o_orderkey",)), ["o_orderkey"])
     return out.select("myid", "o_orderkey")
 
 

@@ -122,3 +122,17 @@ def test_sessions(spark):
 def test_step_table(spark):
     df = spark.createDataFrame([("{10:1,\n 20 : 2, -1:9}",)], "text string")
     assert sorted(map(tuple, text.step_table(df).collect())) == [(-1, 9), (10, 1), (20, 2)]
+
+
+def test_report_blocks_without_empty_lines(spark, tmp_path):
+    path = tmp_path / "report.log"
+    joined = "some header\n" + (BLOCK.format(op="write", mb="1.0") + BLOCK.format(op="read", mb="2.0")).replace("\n\n", "\n")
+    torn = BLOCK.format(op="append", mb="3.0").replace("BRT", "CET").replace("\n", "\n\n", 3)
+    path.write_text(joined + torn)
+    got = text.report_blocks(spark, str(path)).orderBy("total_mb").collect()
+    assert [(r.op, r.total_mb, r.exec_s, r.run_ts is None) for r in got] == [
+        ("write", 1.0, 12.75, False), ("read", 2.0, 12.75, False), ("append", 3.0, 12.75, True),
+    ]
+    texts = spark.createDataFrame([(1, joined), (2, torn), (3, "none"), (4, None)], "id int, text string")
+    split = text.report_fields(text.split_reports(texts))
+    assert sorted((r.id, r.op) for r in split.collect()) == [(1, "read"), (1, "write"), (2, "append")]
