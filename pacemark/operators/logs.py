@@ -92,15 +92,13 @@ def fold_records(numbered: DataFrame, file: Sequence[str] = ("file",)) -> DataFr
     Only counts are aggregated, so a record of any length costs one row per task. Its lines stay
     available under ``(file, record_no)``.
     """
-    keys = [*file, "record_no"]
-    fields = [c for c in ("ts", "myid", "level", "thread", "class", "src_line", "message")]
-    heads = numbered.where(F.col("level").isNotNull()).select(*keys, *fields)
-    more = (
-        numbered.where(F.col("level").isNull())
-        .groupBy(*keys)
-        .agg(F.count("*").alias("n_more"))
+    fields = ["ts", "myid", "level", "thread", "class", "src_line", "message"]
+    is_head = F.col("level").isNotNull()
+    return (
+        numbered.groupBy(*file, "record_no")
+        .agg(F.max(F.when(is_head, F.struct(*fields))).alias("_h"), F.count_if(~is_head).alias("n_more"))
+        .select(*file, "record_no", *[F.col("_h")[f].alias(f) for f in fields], "n_more")
     )
-    return heads.join(more, keys, "full").withColumn("n_more", F.coalesce("n_more", F.lit(0)))
 
 
 def record_texts(

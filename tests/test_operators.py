@@ -189,7 +189,12 @@ def test_logs(spark):
     assert values(logs.pattern_mean(counts), "n_files")[0] == (3,)
     assert logs.clean(lines).count() == 3
     edits = spark.createDataFrame(
-        [("FSImage: Edits file /e of size 9 edits # 12 loaded in 0 seconds",), ("other",)], "text string"
+        [
+            (f"2024-01-01 00:00:00,000 {logs.EDITS_LOADED} /e of size 9 edits # 12 loaded in 0 seconds",),
+            ("WARN org.x.FSImage: Edits file /e of size 9 edits # 99 loaded in 0 seconds",),
+            ("other",),
+        ],
+        "text string",
     )
     assert values(logs.token_mean(edits), "n_lines", "mean_token") == [(1, 12.0)]
 
