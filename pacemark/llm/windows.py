@@ -141,7 +141,8 @@ def dedup(
 
     found = rows.cogroup(told.groupBy("chunk")).applyInArrow(hash_windows, "a bigint, b bigint, doc bigint, place bigint")
     first = found.groupBy("a", "b").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
-    later = found.join(first.where("least < most").drop("most"), ["a", "b"]).where("doc > least")
+    first = store(first.where("least < most").drop("most"))  # read anew, so that a large key can be split
+    later = found.join(first, ["a", "b"]).where("doc > least")
     gone = store(later.select(F.shiftright("place", 32).alias("chunk"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("at")))
     side = leaders.select("chunk", "digest", "doc_id", F.lit(None).cast("bigint").alias("at"))
     told = side.unionByName(gone.select("chunk", *none, "at"))
