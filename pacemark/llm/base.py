@@ -44,8 +44,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Alternates the large-star and small-star steps: every node hands its neighbours to its smallest
     one, first the larger neighbours, then the smaller ones and itself. The number of rounds grows
-    with the logarithm of the longest path. Minima are combined before the shuffle; the join that
-    hands them out has one row per node on one side, so a node with very many links can be split.
+    with the logarithm of the longest path. Minima are combined before the shuffle and written; the join that
+    hands them out reads them anew with one row per node, so a node with very many links can be split.
     Each round is written to the shared folder. Nodes without links do not occur in the result.
     """
     edges = store(
@@ -59,7 +59,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"))
-        low = low.select("u", F.least("u", "m").alias("m"))
+        low = store(low.select("u", F.least("u", "m").alias("m")))
         large = (
             both.join(low, "u")
             .where("v > u")
@@ -67,7 +67,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .where("u <> v")
             .distinct()
         )
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = store(large)
+        least = store(large.groupBy("u").agg(F.min("v").alias("m")))
         small = (
             large.join(least, "u")
             .select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
