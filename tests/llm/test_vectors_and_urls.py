@@ -142,3 +142,59 @@ def test_index_by_rarest_token_loses_no_rule():
         host, path = rnd.choice(names) + "." + rnd.choice(names), "/" + "/".join(rnd.choices(names, k=3))
         fit = [r for r in index.rules if re.search(r.pattern, host + path)]
         assert index.find(host, path) == (fit[0] if fit else None)
+
+
+def crowd(n, pairs, aside, dim=32, seed=5):
+    """Vectors of one label around one direction, at a mutual cosine of about 1 - aside**2, and pairs just linked."""
+    rng = np.random.default_rng(seed)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    center = unit(rng.standard_normal(dim))
+    out = unit(rng.standard_normal((n, dim)))
+    x = unit(math.sqrt(1 - aside**2) * center + aside * out)
+    to = rng.standard_normal((pairs, dim))
+    to = unit(to - (to * x[:pairs]).sum(axis=1, keepdims=True) * x[:pairs])
+    x = np.concatenate([x, 0.935 * x[:pairs] + math.sqrt(1 - 0.935**2) * to])
+    return [(i, v.tolist(), 1) for i, v in enumerate(x)]
+
+
+def crowd_links(rows, cosine=0.93):
+    """As `plain_links`, of vectors of one label whose ids are their places."""
+    x = np.array([v for _, v, _ in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= cosine
+    np.fill_diagonal(near, False)
+    least = np.arange(len(x))
+    while True:
+        lower = np.minimum(least, np.where(near, least[None, :], len(x)).min(axis=1))
+        if (lower == least).all():
+            return [(i, int(near[i].sum()), int(c), i == c) for i, c in enumerate(least)]
+        least = lower
+
+
+def linked(df):
+    return [tuple(r) for r in df.select("vec_id", "n_links", "component_id", "kept").collect()]
+
+
+def test_crowded_label_is_linked_in_full(vectors_of):
+    rows = crowd(4_000, 150, 0.32)
+    assert Counter(linked(embeddings.near_duplicates(vectors_of(rows)))) == Counter(crowd_links(rows))
+
+
+def test_passes_go_on_until_made_pairs_are_met(vectors_of, monkeypatch):
+    monkeypatch.setattr(embeddings, "PASS_COST", 1)
+    monkeypatch.setattr(embeddings, "PROBES", 500)
+    rows = crowd(1_500, 60, 0.6)
+    begun, real = [], embeddings.hashes
+    monkeypatch.setattr(embeddings, "hashes", lambda *a, **k: begun.append(a[1]) or real(*a, **k))
+    got, want = linked(embeddings.near_duplicates(vectors_of(rows), window=16)), crowd_links(rows)
+    assert sum(begun) > embeddings.passes_for(len(rows), window=16)
+    assert len(set(got) & set(want)) >= 0.99 * len(want)
+
+
+def test_a_label_too_crowded_for_passes_is_compared_in_full(vectors_of, monkeypatch):
+    monkeypatch.setattr(embeddings, "PASS_COST", 30)
+    rows = crowd(1_500, 60, 0.32)
+    begun, real = [], embeddings.hashes
+    monkeypatch.setattr(embeddings, "hashes", lambda *a, **k: begun.append(a[1]) or real(*a, **k))
+    assert Counter(linked(embeddings.near_duplicates(vectors_of(rows), window=16))) == Counter(crowd_links(rows))
+    assert begun
