@@ -39,8 +39,17 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document with their number and the digests of ids and decoded bytes."""
-    return bpe.digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    """Token ids of each document and the bytes decoded from them, with their number and the digests of both."""
+    coded = bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    commas = F.length("ids") - F.length(F.replace(F.col("ids"), F.lit(",")))
+    return coded.select(
+        "doc_id",
+        F.when(F.col("ids") == "", 0).otherwise(commas + 1).cast("bigint").alias("n_tokens"),
+        "ids",
+        "decoded",
+        F.sha2(F.col("ids").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
 
 
 STAGES = [

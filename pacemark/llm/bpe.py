@@ -38,6 +38,7 @@ runs_in_tasks(__name__)
 KEPT = 400_000  # matches that a task remembers
 TOGETHER = 64  # bytes of the longest match that is merged together with others
 ROWS = 8_192  # matches whose trees are one array
+PIECE = 1 << 21  # characters and bytes of encoded and decoded contents that a task holds, about
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -272,8 +273,14 @@ def _mapped(
         ranks, trees = sent.value
         coder = Encoder(ranks, pattern, trees)
         piece_of = {str(r): t for t, r in ranks.items()}.__getitem__
+
+        def made(ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+            columns = [pa.array(list(c), t.type) for c, t in zip(zip(*rows), list(schema)[1:])]
+            return pa.RecordBatch.from_arrays([ids.cast(schema[0].type), *columns], schema=schema)
+
         for batch in batches:
             rows: list[tuple] = []
+            done = held = 0
             for ids in coded_in_parts(coder, batch.column(1)):
                 each = ids.split(",") if ids else []
                 decoded = b"".join(map(piece_of, each))
@@ -282,9 +289,12 @@ def _mapped(
                     rows.append((len(each), sha(ids.encode()).hexdigest(), sha(decoded).hexdigest()))
                 else:
                     rows.append((ids, decoded))
+                    held += len(ids) + len(decoded)
+                if held >= PIECE:  # contents are handed on in pieces, however long the batch is
+                    yield made(batch.column(0).slice(done, len(rows)), rows)
+                    done, held, rows = done + len(rows), 0, []
             if rows:
-                made = [pa.array(list(c), t.type) for c, t in zip(zip(*rows), list(schema)[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).cast(schema[0].type), *made], schema=schema)
+                yield made(batch.column(0).slice(done), rows)
 
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = narrow.schema["doc_id"].dataType

@@ -1,12 +1,15 @@
 """The numbered queries over a whole small table, and the pipeline against its stages' brute force."""
 
 import duckdb
+import public_tokenizers
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pacemark.llm import bpe, secrets, simhash, toxicity
 from pacemark.llm.queries import ORACLE, QUERIES
+from test_texts import sha
 
 SF = "/root/testdata/sf0.001"
 
@@ -75,3 +78,24 @@ def test_stages_on_an_empty_table(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+@pytest.mark.parametrize("piece", [bpe.PIECE, 2_000])
+def test_last_stage_returns_ids_and_bytes(spark, monkeypatch, piece):
+    monkeypatch.setattr(bpe, "PIECE", piece)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(20)
+    docs = docs.unionByName(spark.createDataFrame([(-1, ""), (-2, None), (-3, "a")], docs.schema))
+    text_of = {r.doc_id: r.text or "" for r in docs.collect()}
+    out = corpus_pipeline.pack(spark, docs, SF).collect()
+    assert sorted(r.doc_id for r in out) == sorted(text_of)
+    for r in out:
+        ids = plain_ids(text_of[r.doc_id])
+        assert (r.n_tokens, r.ids) == (len(ids), ",".join(map(str, ids))) and bytes(r.decoded) == text_of[r.doc_id].encode()
+        assert (r.ids_sha256, r.decoded_sha256) == (sha(r.ids), sha(bytes(r.decoded)))
+
+
+def plain_ids(text, coder=[]):  # noqa: B006
+    if not coder:
+        ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+        coder.append(tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}))
+    return coder[0].encode_ordinary(text)
