@@ -1,6 +1,10 @@
 """The numbered queries over a whole small table, and the pipeline against its stages' brute force."""
 
+import re
+from collections import Counter
+
 import duckdb
+import pandas as pd
 import public_tokenizers
 import pytest
 import tiktoken
@@ -9,7 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from pacemark.llm import bpe, secrets, simhash, toxicity
 from pacemark.llm.queries import ORACLE, QUERIES
-from test_texts import sha
+from test_texts import groups, plain_fingerprint, plain_targets, sha
 
 SF = "/root/testdata/sf0.001"
 
@@ -99,3 +103,48 @@ def plain_ids(text, coder=[]):  # noqa: B006
         ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
         coder.append(tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}))
     return coder[0].encode_ordinary(text)
+
+
+def plain_stages(spark, rows, folder):
+    """Rows ``doc_id, text, source`` that each stage before mixing leaves, in plain Python but for the fitted model."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    heads = model.heads()
+    clean = [r for r in rows if model.score(model.counts(r[1], heads)) < 0.7]
+    prints = [plain_fingerprint(r[1]) for r in clean]
+    least, _ = groups([r[0] for r in clean], lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 3)
+    single = [r for r, c in zip(clean, least) if r[0] == c]
+    key = r"(?:password|passwd|secret|token|api_?key)[\"']? *[:=] *[\"']?[A-Za-z0-9+/_.=-]{6,}"
+    more = r"AKIA[A-Z0-9]{16,}|[0-9a-f]{24,}|-----BEGIN [A-Z ]*PRIVATE KEY-----|gh[pousr]_[A-Za-z0-9]{36,}"
+    jwt = r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"
+    safe = [r for r in single if not re.search(key, r[1], re.I | re.A) and not re.search(f"{more}|{jwt}", r[1])]
+    return clean, single, safe
+
+
+def test_run_equals_plain_stages(spark, tmp_path):
+    table = spark.read.parquet(f"{SF}/documents.parquet").toPandas()
+    extra = table[table.text.str.split().str.len().between(60, 200)].head(3).copy()
+    extra["doc_id"] = [9001, 9002, 9003]
+    extra.iloc[1, extra.columns.get_loc("text")] = "mountain river Password: 'hunter2222' valley " * 3
+    extra.iloc[2, extra.columns.get_loc("text")] = "quiet harbour with ghp_" + "a1B2" * 9 + " boats at dawn"
+    pd.concat([table, extra]).to_parquet(tmp_path / "documents.parquet", index=False)
+    spark.read.parquet(f"{SF}/labels.parquet").toPandas().to_parquet(tmp_path / "labels.parquet", index=False)
+    rows = [(r.doc_id, r.text, r.source) for r in pd.concat([table, extra]).itertuples()]
+    clean, single, safe = plain_stages(spark, rows, str(tmp_path))
+    assert len(rows) >= len(clean) > len(single) > len(safe) > 0
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    text_of, source_of = {r[0]: r[1] for r in safe}, {r[0]: r[2] for r in safe}
+    length = {i: len(t.encode().split()) for i, t in text_of.items()}
+    times = Counter(r.doc_id for r in out)
+    assert set(times) <= set(text_of) and max(times.values()) <= 3
+    size, taken = Counter(), Counter()
+    for i, n in length.items():
+        size[source_of[i]] += n
+        taken[source_of[i]] += n * times[i]
+    for source, target in plain_targets(size).items():
+        room = min((n for i, n in length.items() if source_of[i] == source and times[i] < 3), default=1)
+        assert 0.99 * target - room - 1 <= taken[source] <= target + 1, source
+    for r in out:
+        ids = plain_ids(text_of[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), sha(",".join(map(str, ids))))
+        assert r.decoded_sha256 == sha(text_of[r.doc_id])
