@@ -2,13 +2,31 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pacemark.llm import bpe, embeddings, mixing, passages, secrets, simhash, topk, toxicity, urls, windows
+from pacemark.llm import (
+    bpe,
+    embeddings,
+    exact,
+    mixing,
+    negatives,
+    passages,
+    repeats,
+    secrets,
+    simhash,
+    topk,
+    toxicity,
+    urls,
+    windows,
+)
+from pacemark.session import runs_in_tasks
+
+runs_in_tasks(__name__)
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 URL_RULES = (
@@ -90,6 +108,46 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def periodic_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """Every tenth document by its id's CRC goes on from some word with the next few words over and over."""
+    n, h = len(words), zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return (words[:a] + words[a : a + p] * (-(-(n - a) // p)))[:n]
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.find(table(spark, sf_dir, "documents"), rewrite=periodic_tail)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = F.col("best")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        best["start"].alias("start"),
+        best["length"].alias("length"),
+        best["period"].alias("period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact.groups(table(spark, sf_dir, "documents"), every_hash=True)
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.col("full").alias("text_sha256"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", moved), F.col("id") % 50 == 0).select(
+        "anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_bpe": op2_bpe,
@@ -101,6 +159,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_passage_dedup": op8_passage_dedup,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 URL_SQL = """
@@ -192,9 +253,42 @@ from (select doc_id from documents) d left join spans on d.doc_id = spans.doc_id
 """
 
 
+EXACT_SQL = """
+select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size,
+  doc_id = max(doc_id) over same as kept, sha256(coalesce(text, '')) as text_sha256
+from documents window same as (partition by coalesce(text, ''))
+"""
+
+NEGATIVES_SQL = """
+with usable as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: cast(floor(256 * x::double) as bigint)) as v
+  from embeddings
+  where label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+  select q.vec_id as anchor_id, c.vec_id, q.label = c.label as same,
+    list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1]::bigint * z[2]::bigint))::bigint as score
+  from usable q join usable c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0
+), positives as (
+  select anchor_id, vec_id as positive_id, score as positive_score from scored where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+)
+select anchor_id, positive_id, rank::int as rank, vec_id as negative_id, positive_score, score as negative_score
+from (
+  select p.*, s.vec_id, s.score,
+    row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.vec_id) as rank
+  from positives p join scored s on p.anchor_id = s.anchor_id
+  where not s.same and 50 * positive_score <= 100 * s.score and 100 * s.score <= 95 * positive_score
+)
+where rank <= 3
+"""
+
 ORACLE: dict[str, str] = {
     "op1_embedding_dedup": EMBEDDING_SQL,
     "op3_topk": TOPK_SQL,
     "op4_url_filter": URL_SQL,
     "op5_secrets": _secrets_sql(),
+    "op12_exact_dedup": EXACT_SQL,
+    "op13_hard_negatives": NEGATIVES_SQL,
 }
