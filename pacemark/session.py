@@ -19,6 +19,9 @@ def runs_in_tasks(module: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
+runs_in_tasks(__name__)  # modules that are sent to tasks refer to functions of this one
+
+
 def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A single-machine session for tests and the bench."""
     return (
