@@ -24,13 +24,14 @@ from pacemark.operators import (
     workloads,
 )
 from pacemark.plans import bindings as b
+from pacemark.plans.stateful import STATEFUL
 from pacemark.session import cut
 from pacemark.operators.ordered import last_known, previous, running_sum, scan
 from pacemark.sources import text as sources
 from pacemark.sources.text import EXEC_MARK, last_token_values
 
 Query = Callable[[SparkSession, str], DataFrame]
-CATALOG: dict[str, Query] = {}
+CATALOG: dict[str, Query] = {**STATEFUL}
 
 RUN_BASELINE = 26.0
 DAY = 86_400

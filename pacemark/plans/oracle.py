@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pacemark.plans.oracle_stateful import STATEFUL_SQL
+
 EV = """ev as (select event_id, epoch_us(ts) us, epoch_us(ts) // 1000000 t, user_id % 8 "cluster",
   user_id client, event_type, value from events)"""
 
@@ -149,6 +151,7 @@ def _unit(start: int) -> str:
 
 
 ORACLE: dict[str, str] = {
+    **STATEFUL_SQL,
     "parse_messages": f"""with {EV}, x as (select event_id, t, cast(cast(floor(value) as bigint) as varchar) v,
         case when event_id % 97 = 0 then 1 when event_id % 101 = 0 then 2 when event_id % 103 = 0 then 3
         when event_id % 107 = 0 then 4 when event_id % 109 = 0 then 5 when event_id % 113 = 0 then 6
