@@ -72,11 +72,12 @@ def flatten(
 def with_inner_nodes(leaves: DataFrame, keys: Sequence[str] = ("snapshot",)) -> DataFrame:
     """Add the missing ancestors of all paths, with empty values."""
     parts = F.split(F.trim("path", F.lit("/")), "/")
+    deep = F.when(F.col("path") == "/", 0).otherwise(F.size(parts))
     every = leaves.select(
         *keys,
         F.explode(
             F.transform(
-                F.sequence(F.lit(0), F.size(parts)),
+                F.sequence(F.lit(0), deep),
                 lambda i: F.when(i == 0, F.lit("/")).otherwise(
                     F.concat(F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/"))
                 ),

@@ -9,6 +9,15 @@ SESSIONS = """ev as (select user_id client, epoch_us(ts) us, event_id from event
    rows between unbounded preceding and current row) island from isl),
  ses as (select client, min(us) start_us, max(us) end_us, count(*) n from num group by client, island)"""
 
+REGION_TEXTS = """sp as (select r_name r, n_name n, trim(s_name) s, '/' || r_name || '/' || n_name || '/'
+    || trim(s_name) || '/' path, cast(s_suppkey as varchar) "value"
+  from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey),
+ a as (select r, n, string_agg('"' || s || '": ["' || "value" || '", "' || path || '", {}]', ', ' order by s) x
+   from sp group by 1, 2),
+ b as (select r, string_agg('"' || n || '": ["", "/' || r || '/' || n || '/", {' || x || '}]', ', ' order by n) x
+   from a group by 1),
+ texts as (select r "snapshot", '{"/": ["", "/", {"' || r || '": ["", "/' || r || '/", {' || x || '}]}]}' doc from b)"""
+
 STATEFUL_SQL = {
     "live_notices": """
 with ev as (select event_id, epoch_us(ts) us, user_id % 8 "cluster", user_id client,
@@ -55,4 +64,22 @@ union all select run, l_linenumber, null, 'no_start' from l, w
     "client_sessions": f"with {SESSIONS} select * from ses",
     "client_sessions_stream": f"""with {SESSIONS} select * from ses
 where (end_us + 21600000000) // 1000 <= (select max(us) // 1000 from ev) - 600500""",
+    "kv_nest_pieces": f"""with {REGION_TEXTS}
+select "snapshot", k piece, substr(doc, k * 512 + 1, 512) "text"
+from texts, lateral (select unnest(range(0, (length(doc) + 511) // 512)) k)""",
+    "kv_nest_all_documents": """
+with d as (select lang, source, lpad(doc_id::varchar, 12, '0') doc, md5("text") v from documents),
+ a as (select lang, source, string_agg('"' || doc || '": ["' || v || '", "/' || lang || '/' || source || '/' || doc ||
+   '/", {}]', ', ' order by doc) x from d group by 1, 2),
+ s as (select lang, string_agg('"' || source || '": ["", "/' || lang || '/' || source || '/", {' || x || '}]',
+   ', ' order by source) x from a group by 1),
+ t as (select '{"/": ["", "/", {' || string_agg('"' || lang || '": ["", "/' || lang || '/", {' || x || '}]', ', '
+   order by lang) || '}]}' doc from s)
+select k piece, substr(doc, k * 16384 + 1, 16384) "text"
+from t, lateral (select unnest(range(0, (length(doc) + 16383) // 16384)) k)""",
+    "kv_upsert_log": """
+with c as (select greatest(0, least(9, ((year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1) // 8)) batch,
+   '/customer/' || o_custkey || '/' path, o_orderkey::varchar "value", o_orderdate, o_orderkey from orders)
+select path, "value", batch from c
+qualify row_number() over (partition by path order by batch desc, o_orderdate desc, o_orderkey desc) = 1""",
 }

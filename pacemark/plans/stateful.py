@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pacemark.operators import activity
+from pacemark.operators import activity, kvtext
 from pacemark.plans import bindings as b
 from pacemark.session import settings
+from pacemark.sources.changelog import ChangeLog
 from pacemark.streaming.live import STATE_STORE, notices
-from pacemark.streaming.run import read_stream, run_to_table
+from pacemark.streaming.run import read_stream, run_to_table, stream_folder
 from pacemark.streaming.spans import run_spans
 
 STATEFUL: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +91,44 @@ def client_sessions_stream(spark, sf):
     local = {"streaming__sessionWindow__merge__sessions__in__local__partition": "true"}
     with settings(spark, streaming__stateStore__providerClass=STATE_STORE, **local):
         return _micros(run_to_table(merged))
+
+
+@query
+def kv_nest_pieces(spark, sf):
+    """One snapshot per region, written in pieces of 512 characters."""
+    out = kvtext.nest_pieces(b.region_nodes(spark, sf), size=512)
+    return out.select("snapshot", "piece", "text")
+
+
+@query
+def kv_nest_all_documents(spark, sf):
+    """All documents as leaves of a single snapshot, in pieces of 16,384 characters."""
+    docs = b.table(spark, sf, "documents")
+    path = F.concat_ws("/", F.lit(""), "lang", "source", F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit(""))
+    nodes = docs.select(F.lit(1).alias("snapshot"), path.alias("path"), F.md5(F.col("text").cast("binary")).alias("value"))
+    return kvtext.nest_pieces(nodes, size=16_384).select("piece", "text")
+
+
+def latest_order_batches(spark, sf):
+    """Ten batches of changes in the order of time: each customer's latest order."""
+    day = F.col("o_orderdate").cast("timestamp")
+    months = (F.year(day) - 1995) * 12 + F.month(day) - 1
+    return b.table(spark, sf, "orders").select(
+        F.greatest(F.lit(0), F.least(F.lit(9), F.floor(months / 8))).cast("int").alias("batch"),
+        F.concat(F.lit("/customer/"), "o_custkey", F.lit("/")).alias("path"),
+        F.col("o_orderkey").cast("string").alias("value"),
+        F.unix_micros(day).alias("us"),
+        F.col("o_orderkey").alias("event_id"),
+    )
+
+
+@query
+def kv_upsert_log(spark, sf):
+    """State after ten batches of changes, appended to a log and compacted bucket by bucket."""
+    changes = latest_order_batches(spark, sf)
+    log = ChangeLog(f"{stream_folder(spark)}/latest", buckets=8)
+    for batch in range(10):
+        log.write(changes.where(F.col("batch") == batch), batch, "orders")
+        log.compact(spark)
+    log.vacuum(spark)
+    return log.read(spark).select("path", "value", F.col("number").alias("batch"))
