@@ -99,6 +99,29 @@ def phase_comparison(
     )
 
 
+def phase_subtotals(
+    df: DataFrame,
+    dims: Sequence[str],
+    value: str,
+    phases: tuple[str | int, str | int] = ("AF", "DF"),
+    phase: str = "phase",
+) -> DataFrame:
+    """`phase_comparison` for all combinations of ``dims`` and all their subtotals, in one aggregation.
+
+    ``grouping`` has a bit per dimension, the first one highest, set where the row is a total over it; so a total
+    and a group whose own value is NULL are told apart.
+    """
+    first, second = (str(p).lower() for p in phases)
+    means = [F.avg(F.when(F.col(phase) == p, F.col(value))) for p in phases]
+    out = df.cube(*dims).agg(
+        F.grouping_id().alias("grouping"),
+        F.count(value).alias("n"),
+        means[0].alias(f"mean_{first}"),
+        means[1].alias(f"mean_{second}"),
+    )
+    return out.withColumn("ratio", F.col(f"mean_{second}") / F.col(f"mean_{first}"))
+
+
 def io_summary(df: DataFrame, keys: Sequence[str], mb: str, seconds: str) -> DataFrame:
     """Throughput and I/O rate of transfer tasks: total over total, and mean and deviation of rates."""
     rate = F.col(mb) / F.col(seconds)

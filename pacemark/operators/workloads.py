@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pacemark.operators.ordered import SLICE, row_number, scan
@@ -239,6 +239,30 @@ def write_probe(df: DataFrame, path: str) -> DataFrame:
     )
 
 
+def observed_write(df: DataFrame, path: str, parts: str, line: str = "line") -> DataFrame:
+    """Write the text lines of ``df`` in a folder per value of ``parts`` and report them per folder.
+
+    ``n_rows`` and ``n_bytes`` (line ends included) are counted by the write itself (`Observation`, one pass over
+    what is written); ``part_rows``, ``n_files`` and ``part_bytes`` come from the written files and their metadata.
+    """
+    seen = Observation()
+    size = (F.octet_length(line) + 1).cast("bigint")
+    watched = df.select(parts, line).observe(seen, F.count("*").alias("n_rows"), F.sum(size).alias("n_bytes"))
+    watched.repartition(parts).write.mode("overwrite").partitionBy(parts).text(path)
+    told = seen.get
+    back = df.sparkSession.read.text(path).select(
+        F.col(parts), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("length")
+    )
+    files = back.groupBy(parts, "file").agg(F.count("*").alias("n"), F.max("length").alias("length"))
+    return files.groupBy(parts).agg(
+        F.sum("n").alias("part_rows"),
+        F.count("*").alias("n_files"),
+        F.sum("length").alias("part_bytes"),
+        F.max(F.lit(told["n_rows"]).cast("bigint")).alias("n_rows"),
+        F.max(F.lit(told["n_bytes"]).cast("bigint")).alias("n_bytes"),
+    )
+
+
 def read_probe(df: DataFrame) -> DataFrame:
     """Read ``df`` to the end; rows, megabytes in memory and seconds per task."""
 

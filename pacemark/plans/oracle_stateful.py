@@ -82,4 +82,39 @@ with c as (select greatest(0, least(9, ((year(o_orderdate) - 1995) * 12 + month(
    '/customer/' || o_custkey || '/' path, o_orderkey::varchar "value", o_orderdate, o_orderkey from orders)
 select path, "value", batch from c
 qualify row_number() over (partition by path order by batch desc, o_orderdate desc, o_orderkey desc) = 1""",
+    "kv_flatten_recursive": """
+with leaf as (select doc_id // 500 "snapshot", '/' || array_to_string(string_split(doc_id::varchar, ''), '/') || '/' path,
+   length(doc_id::varchar) depth, md5("text") v from documents),
+ inner_ as (select distinct "snapshot", substr(path, 1, 2 * k + 1) path, k depth
+   from leaf, lateral (select unnest(range(0, depth)) k)),
+ every as (select "snapshot", path, depth, max(v) v from (select * from leaf union all
+   select "snapshot", path, depth, null from inner_) group by 1, 2, 3)
+select "snapshot", depth::int depth, path, case when depth = 0 then '/' else substr(path, 2 * depth, 1) end "name",
+  case when depth > 0 then substr(path, 1, 2 * depth - 1) end parent, coalesce(v, '') "value" from every""",
+    "log_source_lines": """
+with d as (select doc_id, doc_id // 200 file_no, string_split("text", chr(10)) x from documents where "text" is not null),
+ l as (select file_no, doc_id, unnest(range(len(x))) pos, unnest(x) t from d),
+ n as (select file_no, t, row_number() over (partition by file_no order by doc_id, pos) line_no from l)
+select file_no, count(*) n_lines, max(line_no) last_line, count(*) filter (where contains(t, 'the ')) hits,
+  min(line_no) filter (where contains(t, 'the ')) first_hit, sum(length(t))::bigint n_chars from n group by file_no""",
+    "grouped_median_sketch": """
+with r as (select l_returnflag benchmark, strftime(l_shipdate, '%Y-%m') "month", l_quantity::int x from lineitem),
+ h as (select benchmark, "month", x, count(*) f from r group by 1, 2, 3),
+ c as (select *, sum(f) over (partition by benchmark, "month" order by x) - f cf,
+   sum(f) over (partition by benchmark, "month") n from h)
+select benchmark, "month", n::bigint n, round(x - 0.5 + (n / 2 - cf) / f, 6) grouped_median, true "within" from c
+where cf <= n // 2 and n // 2 < cf + f""",
+    "phase_subtotals": """
+with r as (select l_returnflag benchmark, l_linenumber rep, l_quantity::int s, l_linestatus = 'O' af from lineitem),
+ g as (select benchmark, rep, grouping_id(benchmark, rep)::int "grouping", count(s) n, avg(case when af then s end) a,
+   avg(case when not af then s end) d from r group by cube (benchmark, rep))
+select benchmark, rep::int rep, "grouping", n, round(a, 6) mean_af, round(d, 6) mean_df, round(d / a, 6) ratio from g""",
+    "transfer_write": """
+with r as (select l_orderkey % 16 part, concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber, l_returnflag,
+   l_linestatus) line from lineitem)
+select part, count(*) part_rows, 1::bigint n_files, sum(strlen(line) + 1)::bigint part_bytes,
+  (select count(*) from r) n_rows, (select sum(strlen(line) + 1)::bigint from r) n_bytes from r group by part""",
+    "stream_without_repeats": """
+select user_id % 8 "cluster", event_id, case event_type when 'signup' then 'IN' when 'error' then 'OUT' else 'UPDATE' end
+  verb, cast(floor(value) as bigint) v from events""",
 }

@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pacemark.operators import activity, kvtext
+from pacemark.operators import activity, kvrecursive, kvtext, kvtree, quantiles, runs, workloads
 from pacemark.plans import bindings as b
-from pacemark.session import settings
+from pacemark.session import cut, settings
+from pacemark.sources import logsource
 from pacemark.sources.changelog import ChangeLog
+from pacemark.sources.sinks import without_repeats
 from pacemark.streaming.live import STATE_STORE, notices
 from pacemark.streaming.run import read_stream, run_to_table, stream_folder
 from pacemark.streaming.spans import run_spans
@@ -19,6 +21,8 @@ STATEFUL: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 TIMEOUT_US = 12 * 3600 * 1_000_000
 GAP = "6 hours"
+#: Largest error of a month's sketched median of 50 quantities, some 2.5 % of the ranks to either side.
+BOUND = 1.25
 
 
 def query(f):
@@ -132,3 +136,84 @@ def kv_upsert_log(spark, sf):
         log.compact(spark)
     log.vacuum(spark)
     return log.read(spark).select("path", "value", F.col("number").alias("batch"))
+
+
+@query
+def kv_flatten_recursive(spark, sf):
+    """Documents under the digits of their ids, so of unequal depth, nested and flattened again."""
+    docs = b.table(spark, sf, "documents")
+    path = F.concat(F.lit("/"), F.array_join(F.split(F.col("doc_id").cast("string"), ""), "/"), F.lit("/"))
+    nodes = docs.select(
+        F.expr("doc_id div 500").alias("snapshot"), path.alias("path"), F.md5(F.col("text").cast("binary")).alias("value")
+    )
+    return kvrecursive.flatten(cut(kvtree.nest(nodes)))
+
+
+@query
+def log_source_lines(spark, sf):
+    """Documents written as numbered log files, 200 in each, and read by the log source."""
+    docs = b.table(spark, sf, "documents").where(F.col("text").isNotNull())
+    lines = docs.select(
+        F.expr("doc_id div 200").alias("file_no"), "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "value")
+    )
+    folder = f"{stream_folder(spark)}/logs"
+    order = ["file_no", "doc_id", "pos"]
+    laid = lines.repartition("file_no").sortWithinPartitions(*order)
+    laid.select("file_no", "value").write.partitionBy("file_no").text(folder)
+    logsource.register(spark)
+    read = spark.read.format(logsource.FORMAT).option("path", folder).option("name", r"file_no=([0-9]+)/part-").load()
+    hit = F.when(F.col("text").contains("the "), F.col("line_no"))
+    return read.groupBy("file_no").agg(
+        F.count("*").alias("n_lines"), F.max("line_no").alias("last_line"), F.count(hit).alias("hits"),
+        F.min(hit).alias("first_hit"), F.sum(F.length("text")).alias("n_chars"),
+    )
+
+
+@query
+def grouped_median_sketch(spark, sf):
+    """Grouped medians per month from daily sketches, held against the exact ones."""
+    rows = b.table(spark, sf, "lineitem").select(
+        F.col("l_returnflag").alias("benchmark"), "l_shipdate", F.col("l_quantity").cast("int").alias("seconds")
+    )
+    month = F.date_format("l_shipdate", "yyyy-MM")
+    daily = quantiles.sketches(rows, ["benchmark", "l_shipdate"], "seconds")
+    monthly = quantiles.merged(daily.withColumn("month", month), ["benchmark", "month"])
+    near = quantiles.grouped_median(monthly).withColumnRenamed("grouped_median", "near")
+    exact = runs.grouped_median(rows.withColumn("month", month), ["benchmark", "month"], "seconds")
+    both = near.drop("sketch").join(exact.drop("n"), ["benchmark", "month"])
+    off = F.abs(F.col("near") - F.col("grouped_median"))
+    return both.select(
+        "benchmark", "month", "n", F.round("grouped_median", 6).alias("grouped_median"), (off <= BOUND).alias("within")
+    )
+
+
+@query
+def phase_subtotals(spark, sf):
+    out = runs.phase_subtotals(b.runs(spark, sf), ["benchmark", "rep"], "seconds")
+    return out.select(
+        "benchmark", F.col("rep").cast("int").alias("rep"), F.col("grouping").cast("int").alias("grouping"), "n",
+        *[F.round(c, 6).alias(c) for c in ("mean_af", "mean_df", "ratio")],
+    )
+
+
+@query
+def transfer_write(spark, sf):
+    """Line items rewritten as text in 16 folders: rows and bytes as observed and as found in the files."""
+    rows = b.table(spark, sf, "lineitem").select(
+        (F.col("l_orderkey") % 16).alias("part"),
+        F.concat_ws("|", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus").alias("line"),
+    )
+    return workloads.observed_write(rows, f"{stream_folder(spark)}/rewritten", "part")
+
+
+@query
+def stream_without_repeats(spark, sf):
+    """Every fifth event comes again, some seconds later; the sink has each once."""
+    events = client_messages(b.table(spark, sf, "events"))
+    times = F.when(F.col("event_id") % 5 == 0, F.array(F.lit(0), F.lit(3))).otherwise(F.array(F.lit(0)))
+    folder = stream_folder(spark)
+    sent = events.withColumn("s", F.explode(times))
+    sent.withColumn("ts", F.timestamp_micros(F.col("us") + F.col("s") * 1_000_000)).drop("s").write.parquet(f"{folder}/sent")
+    with settings(spark, streaming__stateStore__providerClass=STATE_STORE):
+        kept = run_to_table(without_repeats(read_stream(spark, f"{folder}/sent"), ["cluster", "event_id"]), folder)
+    return kept.select("cluster", "event_id", "verb", "v")

@@ -35,6 +35,14 @@ def write_batch(df: DataFrame, path: str, batch: int, stream: str | None = None)
     df.write.mode("overwrite").parquet(f"{path}/stream={stream or stream_of(df)}/batch={batch}")
 
 
+def without_repeats(df: DataFrame, keys: Sequence[str], ts: str = "ts", delay: str = "1 minute") -> DataFrame:
+    """A stream's rows without those that repeat the keys of one that came at most ``delay`` of event time before.
+
+    What is kept to know repeats by is the keys of the last ``delay``. Repeats in the same batch are dropped too.
+    """
+    return df.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(keys))
+
+
 def append_batches(path: str):
     """``foreachBatch`` function that appends exactly once per batch."""
 
