@@ -106,16 +106,21 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Trees:
     """Segment trees of many short matches at once; made once from the ranks and sent to the tasks."""
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], pairs: tuple[np.ndarray, np.ndarray] | None = None):
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.keys, self.ranks = pairs or self.pairs_of(ranks)
+
+    @staticmethod
+    def pairs_of(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of token ids that merge, as sorted keys, and the ranks of the merged tokens."""
         pairs = {}
         for token, rank in ranks.items():
             for i in range(1, len(token)):
                 a, b = ranks.get(token[:i]), ranks.get(token[i:])
                 if a is not None and b is not None:
                     pairs[a << 24 | b] = rank
-        self.keys = np.array(sorted(pairs) or [-1], np.int64)  # left id, right id
-        self.ranks = np.array([pairs.get(k, 0) for k in self.keys.tolist()], np.int64)
+        keys = np.array(sorted(pairs) or [-1], np.int64)  # left id, right id
+        return keys, np.array([pairs.get(k, 0) for k in keys.tolist()], np.int64)
 
     def _pair(self, left: np.ndarray, right: np.ndarray, place: np.ndarray, none: int) -> np.ndarray:
         """Leaf values, rank and place, of pairs of token ids; ``none`` where the ranks know no such pair."""
@@ -267,11 +272,11 @@ def _mapped(
     docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str, columns: str, hashed: bool
 ) -> DataFrame:
     ranks = read_ranks(path)
-    sent = docs.sparkSession.sparkContext.broadcast((ranks, Trees(ranks)))
+    sent = docs.sparkSession.sparkContext.broadcast((ranks, Trees.pairs_of(ranks)))  # plain values only
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, trees = sent.value
-        coder = Encoder(ranks, pattern, trees)
+        ranks, pairs = sent.value
+        coder = Encoder(ranks, pattern, Trees(ranks, pairs))
         piece_of = {str(r): t for t, r in ranks.items()}.__getitem__
 
         def made(ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:

@@ -200,15 +200,12 @@ def take(
     times = mix(docs, weights, most, seed).groupBy("doc_id", "h").agg(
         F.sum("times").alias("_times"), F.count("*").alias("_rows")
     )
-    times = times.where("_times > 0").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "_times", "_rows")
-    rows = docs.withColumn("_row", _row_hash(seed))
-    rows = rows.join(times, (F.col("_row") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    times = times.where("_times > 0").alias("t")
+    rows = docs.select(F.struct("*").alias("_row"), _row_hash(seed).alias("h"), F.col("doc_id").alias("doc_id")).alias("r")
+    rows = rows.join(times, (F.col("r.h") == F.col("t.h")) & F.col("r.doc_id").eqNullSafe(F.col("t.doc_id")))
+    rows = rows.select("_row", "r.h", "r.doc_id", "_times", "_rows")
     # rows that are equal in id, source and text share their number
-    nth = F.row_number().over(Window.partitionBy("_row", "_id").orderBy(F.lit(1)))
+    nth = F.row_number().over(Window.partitionBy("h", "doc_id").orderBy(F.lit(1)))
     own = F.floor(F.col("_times") / F.col("_rows")) + (nth <= F.col("_times") % F.col("_rows")).cast("int")
-    return (
-        rows.withColumn("_own", own)
-        .where("_own > 0")
-        .withColumn("_own", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_own"))))
-        .select(*docs.columns)
-    )
+    taken = rows.withColumn("_own", own).where("_own > 0")
+    return taken.select("_row", F.explode(F.sequence(F.lit(1).cast("bigint"), "_own"))).select("_row.*")

@@ -63,7 +63,7 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = secrets.findings(docs, secrets.update(docs), ["doc_id"])
+    found = secrets.findings(docs, secrets.remember(docs), ["doc_id"])
     base = F.filter("spans", lambda s: s["place"] < len(secrets.BASE))
     kinds = F.transform("spans", lambda s: s["kind"])
     number = [

@@ -153,7 +153,10 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(
         F.min(F.struct("h", "doc_id")).alias("k")
     )
-    kept = kept.select(F.col("k.h").alias("_h"), F.col("k.doc_id").alias("_id"))
-    rows = docs.withColumn("_text_hash", F.xxhash64(text_col))
-    same = (F.col("_text_hash") == F.col("_h")) & F.col(id_col).eqNullSafe(F.col("_id"))
-    return rows.join(kept, same, "left_semi").dropDuplicates([id_col, "_text_hash"]).select(*docs.columns)
+    kept = kept.select("k.h", "k.doc_id")
+    rows = docs.select(
+        F.struct("*").alias("_row"), F.xxhash64(text_col).alias("h"), F.col(id_col).alias("doc_id")
+    ).alias("r")
+    same = (F.col("r.h") == F.col("k.h")) & F.col("r.doc_id").eqNullSafe(F.col("k.doc_id"))
+    met = rows.join(kept.alias("k"), same, "left_semi")
+    return met.dropDuplicates(["doc_id", "h"]).select("_row.*")

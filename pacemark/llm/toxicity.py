@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from pacemark.llm.base import store
 from pacemark.session import runs_in_tasks
@@ -240,5 +241,10 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
 
     narrow = docs.select(F.col("text").alias("_scored"), *keep)
     names = narrow.columns[1:]
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[1:]]
-    return narrow.mapInArrow(run, ", ".join([*fields, "score double"]))
+    return narrow.mapInArrow(run, StructType([*narrow.schema.fields[1:], StructField("score", DoubleType())]))
+
+
+def clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows that score under the threshold; columns of any name go through."""
+    packed = docs.select(F.struct("*").alias("row"), "text")
+    return score(packed, model, ["row"]).where(F.col("score") < threshold).select("row.*")
