@@ -18,9 +18,7 @@ from pacemark.llm.base import store
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is under the threshold; the fit reads the stage's own documents."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = toxicity.fit(docs, labels)
-    scored = toxicity.score(docs, model, docs.columns)
-    return scored.where(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
+    return toxicity.clean(docs, toxicity.fit(docs.select("doc_id", "text"), labels))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
