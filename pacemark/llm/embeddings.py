@@ -1,20 +1,21 @@
-"""Embedding near-duplicates: all pairs of a label, and sorted projection passes where those are too many.
-
-All vectors of a label and length are compared, by pairs of bounded blocks, unless that costs more than the
-passes. So every link is found, however crowded the label is.
+"""Embedding near-duplicates by sorted projection passes.
 
 A pass draws 62 random hyperplanes; a vector's signs, read as one number, are its hash. Vectors stand in the
 order of that number within their label, and each is compared with the next ``window`` ones. Near vectors share
 long beginnings of hashes often enough that some pass brings them close together. How often depends on how
 crowded their surroundings are, so it is measured: up to about ``PROBES`` vectors of a label get a partner made at
 the threshold, half of them towards another vector of the label, and passes go on until the share ``recall`` of
-the made pairs has been met. A label whose passes come to cost more than all its pairs is compared in full.
+the made pairs has been met. Labels of at most ``window`` + 1 vectors are compared in whole by their first pass.
 Verified pairs are united and their connected components found.
 
+A label too crowded for its passes, which has not met its probes after ``PATIENCE`` times the passes that even
+surroundings need, is completed exactly: its vectors meet by pairs of bounded blocks. ``complete`` asks for that
+for all labels, whatever their probes say.
+
 A bounded window cannot hold all pairs of a large group, and they are no result. So pairs and passes only have to
-connect a group; afterwards each component counts its links exactly: its members meet in blocks of bounded size, and every pair of blocks is
-a task of its own that returns numbers of links, not pairs. Equal vectors are one row with a number of copies
-throughout.
+connect a group; afterwards each component counts its links exactly: its members meet in blocks of bounded size,
+and every pair of blocks is a task of its own that returns numbers of links, not pairs. Equal vectors are one row
+with a number of copies throughout.
 
 All ranks are dense numbers over range-parted rows, cut into blocks that also get the last ``window`` rows of the
 block before; no label or group is gathered in one task.
@@ -43,7 +44,7 @@ runs_in_tasks(__name__)
 COSINE, WINDOW, RECALL, SEED = 0.93, 48, 0.999, 11
 PLANES = 62  # of a pass; the hash is a non-negative BIGINT
 BLOCK = 2_048  # rows of a task's block
-PASS_COST = 6_000  # a row's part in a pass (hash, sort, shuffle) in comparisons with other rows of all pairs
+PATIENCE = 3
 PROBES = 4_096  # pairs made to measure a label's passes, about
 
 
@@ -201,39 +202,37 @@ def all_pairs(rows: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> Da
 
 
 def connecting_pairs(
-    rows: DataFrame, cosine: float = COSINE, window: int = WINDOW, recall: float = RECALL
+    rows: DataFrame, cosine: float = COSINE, window: int = WINDOW, recall: float = RECALL, complete: bool = False
 ) -> DataFrame:
-    """Pairs ``a, b`` that connect the rows ``id, label, width, v`` which links of their label connect."""
+    """Pairs ``a, b`` that connect the rows ``id, label, width, v`` which links of their label connect.
+
+    Which labels still need passes is a table, however many they are; only its size and largest label come here.
+    """
     group = ["label", "width"]
-    sizes = store(rows.groupBy(*group).agg(F.count("*").alias("size"), F.min("id").alias("root")))
+    sizes = store(rows.groupBy(*group).agg(F.count("*").alias("size")).where("size > 1"))
     sized = rows.join(sizes, group)
-    # the groups for passes; few, as each has many rows, so their numbers fit the driver
-    few = sizes.where(F.col("size") > 4 * PASS_COST).select("root", "size").collect()
-    open_ = {r.root: r.size for r in few if r.size > PASS_COST * passes_for(r.size, cosine, window, recall)}
-    passed, found = set(open_), []
-    if open_:
-        of = sized.where(F.col("root").isin(list(open_)))
-        made = store(probes(of, cosine))
-        rooted = made.join(sizes, group).select("id", *group, "v", "root")
-        own = store(of.select("id", *group, "v", "root").unionByName(rooted))
-        planted = {r.root: r.n for r in rooted.groupBy("root").agg(F.count("*").alias("n")).collect()}
-        met, first = None, 0
-        while open_:
-            step = max(passes_for(n, cosine, window, recall) for n in open_.values())
-            todo = own.where(F.col("root").isin(list(open_))).select("id", *group, "v")
-            pairs = store(window_pairs(hashes(todo, step, first=first), cosine, window))
-            first += step
-            found.append(pairs.where("a >= 0"))
-            new = pairs.where("a < 0").select(F.col("a").alias("id"))
-            met = store(new if met is None else met.unionByName(new).distinct())
-            share = met.join(rooted.select("id", "root"), "id").groupBy("root").agg(F.count("*").alias("n"))
-            seen = {r.root: r.n for r in share.collect()}
-            ended = {g for g in open_ if seen.get(g, 0) >= recall * planted.get(g, math.inf)}
-            dear = {g for g, n in open_.items() if g not in ended and n <= PASS_COST * (first + step)}
-            passed -= dear
-            open_ = {g: n for g, n in open_.items() if g not in ended | dear}
-    whole = sized.where(~F.col("root").isin(list(passed))) if passed else sized
-    every = all_pairs(whole.select("root", "id", "v"), cosine)
+    made = store(probes(sized.where(F.col("size") > window + 1), cosine))
+    own = store(sized.select("id", *group, "v").unionByName(made.select("id", *group, "v")))
+    planted = store(made.groupBy(*group).agg(F.count("*").alias("planted")))
+    found, met, first, open_ = [], None, 0, sizes
+    largest = limit = sizes.agg(F.max("size")).first()[0] or 0
+    while largest:
+        need = passes_for(largest, cosine, window, recall)
+        if not found:
+            limit = PATIENCE * need
+        step = 1 if largest <= window + 1 else min(need, limit - first)
+        pairs = store(window_pairs(hashes(own.join(open_, group, "left_semi"), step, first=first), cosine, window))
+        first += step
+        found.append(pairs.where("a >= 0"))
+        new = pairs.where("a < 0").select(F.col("a").alias("id"))
+        met = store(new if met is None else met.unionByName(new).distinct())
+        seen = made.join(met, "id", "left_semi").groupBy(*group).agg(F.count("*").alias("seen"))
+        left = open_.join(planted, group).join(seen, group, "left")
+        open_ = store(left.where(F.coalesce("seen", F.lit(0)) < recall * F.col("planted")).select(*group, "size"))
+        largest = (open_.agg(F.max("size")).first()[0] or 0) if first < limit else 0
+    rest = sizes if complete else open_
+    least = store(sized.join(rest.drop("size"), group).groupBy(*group).agg(F.min("id").alias("root")))
+    every = all_pairs(sized.join(least, group).select("root", "id", "v"), cosine)
     for pairs in found:
         every = every.unionByName(pairs)
     return every.distinct()
@@ -274,6 +273,7 @@ def near_duplicates(
     cosine: float = COSINE,
     window: int = WINDOW,
     recall: float = RECALL,
+    complete: bool = False,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     label_col: str = "label",
@@ -291,7 +291,7 @@ def near_duplicates(
     # a node per label and vector; its number is the smallest vec_id, told apart where ids repeat
     kinds = store(numbered(kinds, F.col("least"), F.col("label"), F.col("e"), name="id"))
     flat = kinds.select("id", "label", F.size("e").alias("width"), F.col("e").cast("array<double>").alias("v"))
-    pairs = connecting_pairs(flat, cosine, window, recall)
+    pairs = connecting_pairs(flat, cosine, window, recall, complete)
     roots = store(components(pairs))
     named = roots.withColumnRenamed("node", "id")
     members = store(

@@ -176,12 +176,14 @@ def linked(df):
 
 
 def test_crowded_label_is_linked_in_full(vectors_of):
-    rows = crowd(4_000, 150, 0.32)
-    assert Counter(linked(embeddings.near_duplicates(vectors_of(rows)))) == Counter(crowd_links(rows))
+    rows = crowd(2_500, 100, 0.32)
+    want = Counter(crowd_links(rows))
+    assert Counter(linked(embeddings.near_duplicates(vectors_of(rows)))) == want
+    assert Counter(linked(embeddings.near_duplicates(vectors_of(rows[:1_500]), complete=True))) == Counter(crowd_links(rows[:1_500]))
 
 
 def test_passes_go_on_until_made_pairs_are_met(vectors_of, monkeypatch):
-    monkeypatch.setattr(embeddings, "PASS_COST", 1)
+    monkeypatch.setattr(embeddings, "PATIENCE", 20)
     monkeypatch.setattr(embeddings, "PROBES", 500)
     rows = crowd(1_500, 60, 0.6)
     begun, real = [], embeddings.hashes
@@ -192,7 +194,7 @@ def test_passes_go_on_until_made_pairs_are_met(vectors_of, monkeypatch):
 
 
 def test_a_label_too_crowded_for_passes_is_compared_in_full(vectors_of, monkeypatch):
-    monkeypatch.setattr(embeddings, "PASS_COST", 30)
+    monkeypatch.setattr(embeddings, "PATIENCE", 1)
     rows = crowd(1_500, 60, 0.32)
     begun, real = [], embeddings.hashes
     monkeypatch.setattr(embeddings, "hashes", lambda *a, **k: begun.append(a[1]) or real(*a, **k))
