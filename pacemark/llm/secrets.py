@@ -5,7 +5,7 @@ with the spans that each rule at its version found there: ``blob, found`` where
 ``rule@version`` to spans (start, end; code points, end exclusive). A run groups the versions by address,
 leaves out addresses whose map has all rules of today, reads one text of each other address and applies
 only the rules that its map lacks. The findings are joined back to all paths with that address. `remember` keeps
-the ledger in the shared folder from run to run; the first run begins with an empty one.
+the ledger in a folder from run to run; the first run begins with an empty one.
 Copies, however many, are combined before the shuffle and scanned once.
 
 Positions come from the regular expression's own matches: the text split by the pattern gives what lies
@@ -176,12 +176,13 @@ def ledger_at(spark: SparkSession, folder: str) -> DataFrame:
 def remember(
     versions: DataFrame, rules: Sequence[Rule] = RULES, text_col: str = "text", folder: str | None = None
 ) -> DataFrame:
-    """`update` with the ledger that the shared folder keeps: the entries of these versions' blobs, ``blob, found``.
+    """`update` with a ledger that is kept in ``folder`` from run to run: its entries after these versions, ``blob, found``.
 
-    Pairs of blob and rule that the kept ledger has are not scanned. The others are scanned and added to it.
+    Pairs of blob and rule that the kept ledger has are not scanned. The others are scanned and added to it. Without
+    ``folder`` a new ledger is begun in the shared folder.
     """
     spark = versions.sparkSession
-    folder = folder or f"{shared_folder(spark).rstrip('/')}/pacemark-llm/secret-ledger"
+    folder = folder or f"{shared_folder(spark).rstrip('/')}/pacemark-llm/secret-ledger-{uuid.uuid4().hex}"
     known = ledger_at(spark, folder)
     keys = [r.key for r in rules]
     done = known.where(F.size(F.array_except(F.array(*map(F.lit, keys)), "keys")) == 0).select("blob")
@@ -235,9 +236,11 @@ def as_text(found: Column) -> Column:
     )
 
 
-def without_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES, text_col: str = "text") -> DataFrame:
-    """The rows whose text has no finding, by the kept ledger; columns of any name go through."""
+def without_secrets(
+    docs: DataFrame, rules: Sequence[Rule] = RULES, text_col: str = "text", folder: str | None = None
+) -> DataFrame:
+    """The rows whose text has no finding; ``folder`` as in `remember`. Columns of any name go through."""
     hits = F.map_filter("found", lambda k, v: k.isin([r.key for r in rules]) & (F.size(v) > 0))
-    dirty = remember(docs.select(text_col), rules, text_col).where(F.size(hits) > 0).select("blob")
+    dirty = remember(docs.select(text_col), rules, text_col, folder).where(F.size(hits) > 0).select("blob")
     rows = docs.select(F.struct("*").alias("_row"), _blob(text_col).alias("blob"))
     return rows.join(dirty, "blob", "left_anti").select("_row.*")
