@@ -152,7 +152,7 @@ def repeated_in_shard(parts: list[bytes], weights: list[int], length: int) -> li
     begins = np.cumsum(sizes + 1) - sizes - 1
     joined[begins[1:] - 1] = 1
     t = np.append(joined, 0)
-    sa = suffixes.suffix_array(t, 258)
+    sa = suffixes.suffix_array(t, int(t.max()) + 1)
     shared = suffixes.common_prefixes(t, sa) >= length
     in_order = shared[sa]
     in_order[:-1] |= in_order[1:]  # with the one before or the one after

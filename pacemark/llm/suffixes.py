@@ -11,27 +11,6 @@ from pacemark.session import runs_in_tasks
 
 runs_in_tasks(__name__)
 
-BUCKETS = 4_096  # most symbols whose buckets are walked one after another
-
-
-def doubled(t: np.ndarray) -> np.ndarray:
-    """Suffix array by doubling ranks; for alphabets with too many buckets."""
-    n = len(t)
-    rank, h = np.unique(t, return_inverse=True)[1].astype(np.int64), 1
-    while True:
-        after = np.zeros(n, np.int64)
-        after[:-h] = rank[h:] + 1
-        key = rank * (n + 1) + after
-        order = np.argsort(key, kind="stable" if h > 1 else None)
-        key = key[order]
-        sorted_rank = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
-        rank = np.empty(n, np.int64)
-        rank[order] = sorted_rank
-        if sorted_rank[-1] == n - 1 or h >= n:
-            return order.astype(np.int32)
-        h *= 2
-
-
 def smaller_types(t: np.ndarray) -> np.ndarray:
     """Whether a suffix is smaller than the next one (S) or not (L)."""
     s = np.ones(len(t), bool)
@@ -42,87 +21,151 @@ def smaller_types(t: np.ndarray) -> np.ndarray:
 
 
 class _Induction:
-    """Induces the order of all suffixes from that of the leftmost smaller ones.
+    """Induces the order of all suffixes from that of the leftmost smaller ones, for an alphabet of any size.
 
-    Buckets are walked in order. What a bucket holds is taken as a whole: the suffixes before its entries
-    are dealt to their buckets, in order, with one counting sort. Those that fall into the bucket itself
-    form its next wave.
+    Buckets are walked in order, first up and then down, in ranges of neighbouring buckets of about the square root of
+    all entries. The suffixes before a range's entries are dealt to their buckets at once, in order, by counting sorts.
+    Where some fall into the range itself, it is cut in front of the first bucket that gets one, and goes on there when
+    that bucket is complete. A bucket's own entries, runs of its symbol, are written out by their distance from the
+    run's end.
     """
 
     def __init__(self, t: np.ndarray, s: np.ndarray, symbols: int):
-        self.n, self.symbols = len(t), symbols
-        self.code = (t.astype(np.uint16) << 1 | s).astype(np.uint16)
+        self.t, self.s, self.n, self.symbols = t, s, len(t), symbols
         count = np.bincount(t, minlength=symbols)
         self.ends = np.cumsum(count)
         self.starts = self.ends - count
         self.n_larger = np.bincount(t[~s], minlength=symbols)
-
-    def _before(self, entries: np.ndarray, smaller: int) -> tuple[np.ndarray, np.ndarray]:
-        """Suffixes right before the entries, of the type asked for, grouped by symbol; their symbols."""
-        j = entries[entries > 0] - 1
-        code = self.code[j]
-        fits = (code & 1) == smaller
-        j, symbol = j[fits], code[fits] >> 1
-        if self.symbols <= 257:  # two bytes are sorted by counting, one byte in half the time
-            order = np.argsort((symbol - 1).astype(np.uint8), kind="stable")
-        else:
-            order = np.argsort(symbol, kind="stable")
-        return j[order], symbol[order]
-
-    def run(self, lms: np.ndarray, symbol_of: np.ndarray) -> np.ndarray:
+        begin = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+        #: equal symbols right before each position
+        self.run = (np.arange(self.n) - np.repeat(begin, np.diff(np.append(begin, self.n)))).astype(np.int32)
+        step = max(1, int(self.n**0.5))
+        cut = (np.diff(self.starts // step) > 0) | (count[1:] >= step) | (count[:-1] >= step)
+        self.ranges = [0, *(np.flatnonzero(cut) + 1).tolist(), symbols]
+
+    def induce(self, lms: np.ndarray) -> np.ndarray:
         """``lms``: grouped by symbol, in the order they shall have inside a bucket."""
-        sa = np.zeros(self.n, np.int32)
-        of_bucket = np.cumsum(np.bincount(symbol_of, minlength=self.symbols))
+        sa = np.full(self.n, -1, np.int32)
+        symbol = self.t[lms]
+        many = np.bincount(symbol, minlength=self.symbols)
+        sa[(self.ends - np.cumsum(many))[symbol] + np.arange(len(lms))] = lms
         head = self.starts.copy()
-        for c in range(self.symbols):
-            done = self.starts[c]
-            while done < head[c]:
-                wave, done = sa[done : head[c]], head[c]
-                self._deal(sa, wave, head)
-            begin = of_bucket[c - 1] if c else 0
-            if begin < of_bucket[c]:
-                self._deal(sa, lms[begin : of_bucket[c]], head)
-        tail = self.ends.copy()
-        for c in range(self.symbols - 1, -1, -1):
-            done = self.ends[c]
-            while tail[c] < done:
-                wave, done = sa[tail[c] : done][::-1], tail[c]
-                self._deal_back(sa, wave, tail)
-            if self.n_larger[c]:
-                self._deal_back(sa, sa[self.starts[c] : self.starts[c] + self.n_larger[c]][::-1], tail)
+        for lo, hi in zip(self.ranges[:-1], self.ranges[1:]):
+            self._up(sa, lo, hi, head)
+        is_smaller = np.ones(self.n, bool)
+        larger = np.flatnonzero(self.n_larger)
+        many = self.n_larger[larger]
+        is_smaller[np.repeat(self.starts[larger] - np.cumsum(many) + many, many) + np.arange(many.sum())] = False
+        sa[is_smaller] = -1
         sa[0] = self.n - 1
+        tail = self.ends.copy()
+        for lo, hi in zip(self.ranges[-2::-1], self.ranges[:0:-1]):
+            self._down(sa, lo, hi, tail)
         return sa
 
-    def _deal(self, sa: np.ndarray, entries: np.ndarray, head: np.ndarray) -> None:
-        j, symbol = self._before(entries, 0)
-        if len(j):
-            count = np.bincount(symbol, minlength=self.symbols)
-            sa[(head - np.cumsum(count) + count)[symbol] + np.arange(len(j))] = j
-            head += count
-
-    def _deal_back(self, sa: np.ndarray, entries: np.ndarray, tail: np.ndarray) -> None:
-        j, symbol = self._before(entries, 1)
-        if len(j):
-            count = np.bincount(symbol, minlength=self.symbols)
-            sa[(tail - 1 + np.cumsum(count) - count)[symbol] - np.arange(len(j))] = j
-            tail -= count
+    def _up(self, sa: np.ndarray, lo: int, hi: int, head: np.ndarray) -> None:
+        while lo < hi:
+            if hi - lo == 1:
+                self._write_runs(sa, lo, head)
+            at, j, symbol = self._before(sa, lo, hi, False)
+            inside = symbol < hi
+            to = hi
+            if hi - lo == 1:
+                j, symbol = j[~inside], symbol[~inside]
+            elif inside.any():
+                to = int(symbol[inside].min())
+                if to == lo:  # a run of the first bucket's symbol
+                    self._up(sa, lo, lo + 1, head)
+                    lo += 1
+                    continue
+                here = np.searchsorted(at, self.ends[to - 1] - self.starts[lo])
+                j, symbol = j[:here], symbol[:here]
+            if len(j):
+                j, symbol, first, many, place = self._grouped(j, symbol)
+                sa[head[symbol] + place] = j
+                head[first] += many
+            lo = to
+
+    def _down(self, sa: np.ndarray, lo: int, hi: int, tail: np.ndarray) -> None:
+        while lo < hi:
+            if hi - lo == 1:
+                self._write_runs_down(sa, lo, tail)
+            at, j, symbol = self._before(sa, lo, hi, True)
+            inside = symbol >= lo
+            to = lo
+            if hi - lo == 1:
+                j, symbol = j[~inside], symbol[~inside]
+            elif inside.any():
+                to = int(symbol[inside].max()) + 1
+                if to == hi:
+                    self._down(sa, hi - 1, hi, tail)
+                    hi -= 1
+                    continue
+                here = np.searchsorted(at, self.starts[to] - self.starts[lo])
+                j, symbol = j[here:], symbol[here:]
+            if len(j):
+                j, symbol, first, many, place = self._grouped(j[::-1], symbol[::-1])
+                sa[tail[symbol] - 1 - place] = j
+                tail[first] -= many
+            hi = to
+
+    def _before(self, sa: np.ndarray, lo: int, hi: int, smaller: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Suffixes of the type asked for right before the entries of a range: whose, which, their symbols."""
+        entries = sa[self.starts[lo] : self.ends[hi - 1]]
+        at = np.flatnonzero(entries > 0)
+        j = entries[at] - 1
+        fits = self.s[j] if smaller else ~self.s[j]
+        j = j[fits]
+        return at[fits], j, self.t[j]
+
+    def _grouped(self, j: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Both in the order of symbols, each symbol once, how often, and every entry's place in its group."""
+        if self.symbols <= 257:  # one byte is sorted by counting in half the time; symbol 0 is never dealt
+            order = np.argsort((symbol - 1).astype(np.uint8), kind="stable")
+        else:
+            order = np.argsort((symbol & 0xFFFF).astype(np.uint16), kind="stable")
+            if self.symbols > 1 << 16:
+                order = order[np.argsort((symbol[order] >> 16).astype(np.uint16), kind="stable")]
+        j, symbol = j[order], symbol[order]
+        begin = np.flatnonzero(np.concatenate([[True], symbol[1:] != symbol[:-1]]))
+        many = np.diff(np.append(begin, len(symbol)))
+        return j, symbol, symbol[begin], many, np.arange(len(symbol)) - np.repeat(begin, many)
+
+    def _runs(self, ends: np.ndarray) -> np.ndarray:
+        """Entries and the positions of their symbol's run before them: the nearest first, each in the order given."""
+        many = self.run[ends] + 1
+        back = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        return (np.repeat(ends, many) - back)[np.argsort(back, kind="stable")]
+
+    def _write_runs(self, sa: np.ndarray, c: int, head: np.ndarray) -> None:
+        got = sa[self.starts[c] : head[c]]
+        if self.run[got].any():
+            got = self._runs(got)
+            head[c] = self.starts[c] + len(got)
+            sa[self.starts[c] : head[c]] = got
+
+    def _write_runs_down(self, sa: np.ndarray, c: int, tail: np.ndarray) -> None:
+        got = sa[tail[c] : self.ends[c]][::-1]
+        if self.run[got].any():
+            got = self._runs(got)
+            tail[c] = self.ends[c] - len(got)
+            sa[tail[c] : self.ends[c]] = got[::-1]
 
 
 def suffix_array(t: np.ndarray, symbols: int) -> np.ndarray:
     """Begins of all suffixes in their order. ``symbols``: one more than the largest number in ``t``.
 
     The leftmost smaller suffixes' substrings are sorted by induction and named; where names repeat, their
-    sequence is sorted by this function itself. Their order then induces that of all suffixes. A sequence
-    of more than `BUCKETS` names is sorted by doubling, since its buckets are nearly as many as its entries.
+    sequence is sorted by this function itself, whatever its alphabet. Their order then induces that of all suffixes.
     """
     n = len(t)
-    if n < 3 or symbols > BUCKETS:
-        return doubled(t)
+    if n < 3:
+        return np.arange(n - 1, -1, -1, dtype=np.int32)
+    t = t.astype(np.int32)
     s = smaller_types(t)
     lms = (np.flatnonzero(s[1:] & ~s[:-1]) + 1).astype(np.int32)
     induction = _Induction(t, s, symbols)
-    by_symbol = np.argsort(t[lms], kind="stable")
-    order = induction.run(lms[by_symbol], t[lms[by_symbol]])
+    order = induction.induce(lms[np.argsort(t[lms], kind="stable")])
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
     ranked = order[is_lms[order]]
@@ -141,10 +184,10 @@ def suffix_array(t: np.ndarray, symbols: int) -> np.ndarray:
         same, a, b, most, at = same[go], a[go], b[go], most[go], at + 1
     name = np.cumsum(new) - 1
     if name[-1] + 1 < len(lms):
-        reduced = np.empty(len(lms), np.int64)
+        reduced = np.empty(len(lms), np.int32)
         reduced[place[ranked]] = name
         ranked = lms[suffix_array(reduced, int(name[-1]) + 1)]
-    return induction.run(ranked, t[ranked])
+    return induction.induce(ranked)
 
 
 def common_prefixes(t: np.ndarray, sa: np.ndarray) -> np.ndarray:

@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -291,21 +292,40 @@ def test_passages_against_brute_force(docs_of, rows, hot):
 
 
 def test_suffix_arrays():
-    import numpy as np
-
     rnd = random.Random(6)
     for _ in range(150):
         t = [rnd.randint(1, rnd.choice([1, 2, 3, 200])) for _ in range(rnd.choice([1, 2, 10, 200]))]
         t = t * rnd.choice([1, 1, 3]) + [0]
-        order = sorted(range(len(t)), key=lambda i: t[i:])
-        sa = suffixes.suffix_array(np.array(t), max(t) + 1)
-        assert sa.tolist() == order
-        shared = suffixes.common_prefixes(np.array(t), sa)
-        for before, i in zip(order, order[1:]):
-            n = 0
-            while t[before + n] == t[i + n]:
-                n += 1
-            assert shared[i] == n
+        check_suffix_array(t)
+    check_suffix_array([0])
+    for times in (1, 2):
+        check_suffix_array(list(range(300, 0, -1)) * times + [0])  # every suffix falls into the range walked
+        check_suffix_array(list(range(1, 300)) * times + [0])
+    check_suffix_array([x for _ in range(30) for x in [rnd.randint(1, 9)] * rnd.randint(1, 40)] + [0])
+
+
+def test_suffix_array_of_many_symbols():
+    """Far more symbols than two bytes hold, with long repeats, so that names are sorted by recursion."""
+    numbers = np.random.default_rng(0).integers(1, 90_000, 40_000)
+    t = np.concatenate([numbers, numbers[::2], numbers[100:], [0]])
+    sa = suffixes.suffix_array(t, 90_000)
+    assert sorted(sa.tolist()) == list(range(len(t)))
+    after = np.empty(len(t) + 1, np.int64)  # ranks; a suffix is smaller if its symbol is, or its rest where they agree
+    after[sa] = np.arange(len(t))
+    a, b = sa[:-1], sa[1:]
+    assert ((t[a] < t[b]) | ((t[a] == t[b]) & (after[a + 1] < after[b + 1]))).all()
+
+
+def check_suffix_array(t: list[int]) -> None:
+    order = sorted(range(len(t)), key=lambda i: t[i:])
+    sa = suffixes.suffix_array(np.array(t), max(t) + 1)
+    assert sa.tolist() == order
+    shared = suffixes.common_prefixes(np.array(t), sa)
+    for before, i in zip(order, order[1:]):
+        n = 0
+        while t[before + n] == t[i + n]:
+            n += 1
+        assert shared[i] == n
 
 
 # --- toxicity -------------------------------------------------------------------------------------
