@@ -85,6 +85,19 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
+def risk(pos: np.ndarray, unl: np.ndarray, w: np.ndarray, prior: float) -> tuple[float, float, np.ndarray]:
+    """Risk of missing positives, risk of taking clean ones, and the gradient to step down.
+
+    The second is that of the unlabelled less the positives' share, so it may fall below zero where the model
+    learns the sample by heart. It then counts as zero, and the gradient leads back up.
+    """
+    sp, su = _sigmoid(pos @ w), _sigmoid(unl @ w)  # losses of calling a text clean
+    clean = np.mean(su) - prior * np.mean(sp)
+    of_positive = prior * (pos.T @ (sp * (1 - sp))) / len(pos)
+    of_clean = unl.T @ (su * (1 - su)) / len(unl) - of_positive
+    return prior * np.mean(1 - sp), clean, of_clean - of_positive if clean >= 0 else -of_clean
+
+
 def nnpu(
     pos: np.ndarray, unl: np.ndarray, prior: float, seed: int, epochs: int = 40, rate: float = 0.02,
     ridge: float = 1e-5,
@@ -102,11 +115,7 @@ def nnpu(
             np.array_split(rng.permutation(len(pos)), steps), np.array_split(rng.permutation(len(unl)), steps)
         ):
             p, u = pos[up if len(up) else rng.integers(0, len(pos), 8)], unl[uu]
-            sp, su = _sigmoid(p @ w), _sigmoid(u @ w)  # losses of calling a text clean
-            clean = np.mean(su) - prior * np.mean(sp)
-            of_positive = prior * (p.T @ (sp * (1 - sp))) / len(p)
-            of_clean = u.T @ (su * (1 - su)) / len(u) - of_positive
-            g = of_clean - of_positive if clean >= 0 else -of_clean
+            g = risk(p, u, w, prior)[2]
             g[:-1] += ridge * w[:-1]
             t += 1
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g

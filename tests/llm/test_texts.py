@@ -1,6 +1,7 @@
 """Operators on texts against brute force on small tables with the awkward cases."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -362,6 +363,50 @@ def test_toxicity_on_held_out_rows(spark, docs_of):
     assert toxicity.fit(docs, flipped).features == model.features
 
 
+def plain_risks(pos, unl, w, prior):
+    """Both risks row by row: sigmoid loss of calling positives clean, and of calling the rest toxic."""
+
+    def loss(row, sign):
+        return 1 / (1 + math.exp(sign * sum(a * b for a, b in zip(row, w))))
+
+    missed = prior * sum(loss(r, 1) for r in pos) / len(pos)
+    taken = sum(loss(r, -1) for r in unl) / len(unl) - prior * sum(loss(r, -1) for r in pos) / len(pos)
+    return missed, taken
+
+
+@pytest.mark.parametrize("shift, negative", [(0.0, False), (4.0, True)])
+def test_risk_and_gradient_against_plain_ones(shift, negative):
+    rng = np.random.default_rng(4)
+    pos, unl, w = rng.normal(shift, 1, (7, 3)), rng.normal(-shift, 1, (20, 3)), rng.normal(0.5, 0.1, 3)
+    missed, taken, gradient = toxicity.risk(pos, unl, w, 0.3)
+    want = plain_risks(pos, unl, w, 0.3)
+    assert abs(missed - want[0]) < 1e-12 and abs(taken - want[1]) < 1e-12 and (taken < 0) == negative
+    for k in range(3):
+        ends = []
+        for step in (1e-6, -1e-6):
+            a, b = plain_risks(pos, unl, w + step * np.eye(3)[k], 0.3)
+            ends.append(-b if negative else a + b)  # below zero the clean part is driven up again
+        assert abs(gradient[k] - (ends[0] - ends[1]) / 2e-6) < 1e-7
+
+
+def test_fit_finds_the_least_risk():
+    """One feature: the fitted weights are held against all weights of a grid under the plain risk."""
+    rng = np.random.default_rng(5)
+    pos = rng.normal(2, 0.5, (200, 1))
+    unl = np.concatenate([rng.normal(2, 0.5, (300, 1)), rng.normal(-1, 0.5, (700, 1))])
+    w = toxicity.nnpu(pos, unl, 0.3, seed=1, epochs=200, rate=0.05)
+
+    def total(weights):
+        missed, taken = plain_risks(
+            np.hstack([pos, np.ones((200, 1))]), np.hstack([unl, np.ones((1000, 1))]), weights, 0.3
+        )
+        return missed + max(0.0, taken)
+
+    best = min(total((a, b)) for a in range(-6, 7, 2) for b in range(-6, 7, 2))
+    assert total(w) <= best + 0.02
+    assert ((unl[:, 0] * w[0] + w[1] > 0) == (np.arange(1000) < 300)).mean() > 0.98
+
+
 def test_toxicity_without_labels(docs_of, spark):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     docs = docs_of([(1, "a"), (2, None)])
