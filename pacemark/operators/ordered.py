@@ -13,6 +13,7 @@ be unique together per key.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
@@ -22,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 SLICE = "slice"
+PLAN = "slices"  # in the metadata of a slice column
 ROWS_PER_SLICE = 2_000_000
 MIN_SLICES = 4
 MAX_SLICES = 20_000
@@ -60,7 +62,14 @@ class Slices:
         return Slices((first, second), tuple(cuts))
 
     def assign(self, df: DataFrame, name: str = SLICE) -> DataFrame:
-        """Add the slice number of each row; slices are numbered along the order."""
+        """Add the slice number of each row; slices are numbered along the order.
+
+        The column's metadata tell the plan, so that rows of different plans are not mixed (`same_plan`).
+        """
+        plan = f"{zlib.crc32(repr((self.order, self.cuts)).encode()):08x}"
+        return self._numbered(df, name).withMetadata(name, {PLAN: plan})
+
+    def _numbered(self, df: DataFrame, name: str) -> DataFrame:
         first, second = self.order
         if not self.cuts:
             return df.withColumn(name, F.lit(0).cast("bigint"))
@@ -93,6 +102,13 @@ class Slices:
         return joined.withColumn(name, number).drop(raw, "_hot", "_lo", "_hi", "_hot_piece")
 
 
+def same_plan(*tables: DataFrame, slice_col: str = SLICE) -> None:
+    """Refuse tables whose slice numbers are known to come from different plans."""
+    plans = {t.schema[slice_col].metadata.get(PLAN) for t in tables} - {None}
+    if len(plans) > 1:
+        raise ValueError(f"{slice_col} was numbered by {len(plans)} plans; assign one to all inputs")
+
+
 @dataclass(frozen=True)
 class Carry:
     """One running value: how it is computed in a slice, summed up for it, and carried over."""

@@ -22,7 +22,15 @@ from pacemark.functions.periods import (
 )
 from pacemark.operators.history import history_avg, number
 from pacemark.operators.hysteresis import announce
-from pacemark.operators.ordered import SLICE, Slices, last_known, previous, row_number, scan
+from pacemark.operators.ordered import (
+    SLICE,
+    Slices,
+    last_known,
+    previous,
+    row_number,
+    same_plan,
+    scan,
+)
 from pacemark.operators.telemetry import CLUSTER, ORDER, UPDATE, io_total
 from pacemark.session import cut
 
@@ -212,8 +220,9 @@ def controller(
 
     Step periods are announced on any difference, computed ones outside the dead-band and only if
     ``dynamic``, which may be a condition on the computed rows, such as one per cluster. At the same
-    order values the step period comes first.
+    order values the step period comes first. Both inputs need slice numbers of one plan.
     """
+    same_plan(io, computed, slice_col=slice_col)
     extra = [start] if isinstance(start, str) else []
     columns = [*keys, *order, slice_col, *extra]
     period = F.col("period").cast("bigint").alias("period")

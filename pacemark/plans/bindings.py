@@ -53,9 +53,10 @@ def _verb(pairs: dict[str, str], other: str | None = None) -> Column:
     return chain.otherwise(F.lit(other))
 
 
-def agent_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Registrations, removals and I/O rates ``v``."""
-    return events(spark, sf).select(
+def agent_rows(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> DataFrame:
+    """Registrations, removals and I/O rates ``v``; ``rows``: events that are at hand with their slices."""
+    rows = events(spark, sf) if rows is None else rows
+    return rows.select(
         "cluster",
         "client",
         "us",
@@ -85,17 +86,18 @@ def agent_messages(spark: SparkSession, sf: str) -> DataFrame:
     return events(spark, sf).withColumn("msg", msg)
 
 
-def lifecycle(spark: SparkSession, sf: str) -> DataFrame:
+def lifecycle(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> DataFrame:
     """Starts, stops and failures of supervisors."""
     verb = _verb({"signup": "START", "purchase": "STOP", "error": "FAIL"})
-    rows = events(spark, sf).where(F.col("event_type").isin("signup", "purchase", "error"))
+    rows = events(spark, sf) if rows is None else rows
+    rows = rows.where(F.col("event_type").isin("signup", "purchase", "error"))
     return rows.select("cluster", "us", "event_id", "slice", "t", verb.alias("verb"))
 
 
-def costs(spark: SparkSession, sf: str) -> DataFrame:
+def costs(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> DataFrame:
     """Checkpoint costs in ms."""
-    rows = events(spark, sf).where(F.col("event_type") == "click")
-    return rows.select(
+    rows = events(spark, sf) if rows is None else rows
+    return rows.where(F.col("event_type") == "click").select(
         "cluster", "us", "event_id", "slice", history.whole(F.col("value") * 1000).alias("value")
     )
 
@@ -105,9 +107,10 @@ def failures(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("cluster", "us", "event_id", "slice", "t")
 
 
-def costs_and_failures(spark: SparkSession, sf: str) -> DataFrame:
+def costs_and_failures(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> DataFrame:
     """Both series of the history before the times between failures are known."""
-    rows = events(spark, sf).where(F.col("event_type").isin("click", "error"))
+    rows = events(spark, sf) if rows is None else rows
+    rows = rows.where(F.col("event_type").isin("click", "error"))
     is_cost = F.col("event_type") == "click"
     return rows.select(
         "cluster",

@@ -259,10 +259,11 @@ def restore_snapshot(spark, sf):
 @query
 def run_cost_snapshot(spark, sf):
     """Mean cost as known at the end of each run (a purchase)."""
+    rows = b.events(spark, sf)
     means = history.history_avg(
-        history.number(b.costs(spark, sf), ["cluster"]), keys=["cluster"], name="avg_cost"
+        history.number(b.costs(spark, sf, rows), ["cluster"]), keys=["cluster"], name="avg_cost"
     )
-    ends = b.events(spark, sf).where(F.col("event_type") == "purchase")
+    ends = rows.where(F.col("event_type") == "purchase")
     points = ends.select("cluster", "us", "event_id", "slice")
     out = history.value_at(points, means, "avg_cost")
     return out.select("event_id", "cluster", _r(F.col("avg_cost")).alias("avg_cost"))
@@ -271,8 +272,8 @@ def run_cost_snapshot(spark, sf):
 # --- periods ----------------------------------------------------------------------------------
 
 
-def _means(spark, sf):
-    return policy.averages(policy.observe(b.costs_and_failures(spark, sf)))
+def _means(spark, sf, rows=None):
+    return policy.averages(policy.observe(b.costs_and_failures(spark, sf, rows)))
 
 
 def _formula(spark, sf, period):
@@ -320,15 +321,18 @@ def period_deadband(spark, sf):
 
 @query
 def controller_combined(spark, sf):
+    rows = b.events(spark, sf)
     out = policy.controller(
-        policy.io_candidates(b.agent_rows(spark, sf)), policy.candidates(_means(spark, sf))
+        policy.io_candidates(b.agent_rows(spark, sf, rows)),
+        policy.candidates(_means(spark, sf, rows)),
     )
     return out.select("event_id", "cluster", "kind", "period")
 
 
-def _carried_means(spark, sf):
-    carried = history.tbf_carry_last(b.lifecycle(spark, sf))
-    return policy.averages(policy.observe_carried(b.costs(spark, sf), carried))
+def _carried_means(spark, sf, rows=None):
+    rows = b.events(spark, sf) if rows is None else rows
+    carried = history.tbf_carry_last(b.lifecycle(spark, sf, rows))
+    return policy.averages(policy.observe_carried(b.costs(spark, sf, rows), carried))
 
 
 @query
@@ -341,9 +345,10 @@ def period_from_carry(spark, sf):
 @query
 def controller_with_carry(spark, sf):
     """The same together with the step table; odd clusters are static and have no computed periods."""
+    rows = b.events(spark, sf)
     out = policy.controller(
-        policy.io_candidates(b.agent_rows(spark, sf)),
-        policy.candidates(_carried_means(spark, sf)),
+        policy.io_candidates(b.agent_rows(spark, sf, rows)),
+        policy.candidates(_carried_means(spark, sf, rows)),
         dynamic=F.col("cluster") % 2 == 0,
     )
     return out.select("event_id", "cluster", "kind", "period")

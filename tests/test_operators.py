@@ -350,3 +350,13 @@ def test_gated_candidates_in_the_dead_band(spark):
     io = df.where("false")
     both = policy.controller(io, df, dynamic=F.col("cluster") == 1)
     assert {r.cluster for r in both.collect()} == {1}
+
+
+def test_controller_refuses_slices_of_two_plans(spark):
+    rows = spark.range(400).selectExpr("id % 3 as cluster", "id as us", "id as event_id", "60 + id % 50 as period")
+    one_plan, other = Slices.plan(rows, ("us", "event_id")), Slices.plan(rows.where("us > 150"), ("us", "event_id"))
+    io = one_plan.assign(rows.where("us % 7 = 0"))
+    assert policy.controller(io, policy.without_repeats(one_plan.assign(rows))).count() > 0
+    for mixed in (other.assign(rows), policy.without_repeats(other.assign(rows))):
+        with pytest.raises(ValueError, match="plans"):
+            policy.controller(io, mixed)
