@@ -13,6 +13,10 @@ Host and path: after the first ``://`` the host goes up to ``/``, ``?``, ``#`` o
 case; the path from there up to ``?``, ``#`` or the end. Of the rules that fit, the longest name wins, at
 equal length the one with the longer host, then the earlier one; a listed rule goes before a pattern rule.
 
+Rules can also be read from filter lists in the common syntax of ad and tracker lists (`filter_line`, and `filter_rules`
+for a table of lines). They compare ASCII letters in either case, so tokens are filed in lower case. Where several fit,
+exceptions (``@@``) go first.
+
 Edge cases: a null URL, or one without ``://``, has empty host and path and no rule. Repeated rows and null
 ids are kept; other columns are ignored. Without rules every verdict is the default.
 """
@@ -34,6 +38,12 @@ runs_in_tasks(__name__)
 
 MAX_RULES = 200_000
 TOKEN = re.compile("[A-Za-z0-9]+")
+LOWER = {code: code + 32 for code in range(ord("A"), ord("Z") + 1)}
+
+
+def tokens_of(text: str) -> list[str]:
+    """Runs of ASCII letters and digits, in lower case; other letters are left alone."""
+    return TOKEN.findall(text.translate(LOWER))
 
 
 @dataclass(frozen=True)
@@ -46,6 +56,7 @@ class Rule:
     tokens: tuple[str, ...]
     listed: bool = True
     host_length: int = 0
+    exception: bool = False
 
 
 def site(action: str, name: str) -> Rule:
@@ -68,6 +79,48 @@ def glob(action: str, name: str) -> Rule:
     return Rule(name, action, r"(?s:\A" + ".*".join(map(re.escape, parts)) + r"\Z)", tuple(tokens), False)
 
 
+#: What parts of a filter line stand for: ``^`` is a separator or the end, ``*`` anything.
+FILTER_PARTS = {"^": r"(?:[^A-Za-z0-9_.%-]|\Z)", "*": "(?s:.*)"}
+
+
+def filter_line(line: str | None) -> Rule | None:
+    """A rule over ``host + path`` from a line of a filter list, or None where the line holds none.
+
+    ``||`` anchors at the host or one of its parent domains, ``|`` at the begin or the end, ``@@`` makes an
+    exception; a scheme behind the anchor is left out, as addresses have none here. Lines that depend on the request
+    or page (``$`` options, element rules), regular expressions, comments and heads give None.
+    """
+    name = (line or "").strip()
+    exception = name.startswith("@@")
+    body = name[2:] if exception else name
+    regular = len(body) > 1 and body[0] == body[-1] == "/"
+    if not body or regular or re.match(r"!|\[", name) or re.search(r"#@?[?$%]?#|\$", body):
+        return None
+    domain = body.startswith("||")
+    begin = not domain and body.startswith("|")
+    body = re.sub(r"^[A-Za-z*]*://", "", body.lstrip("|")) if domain or begin else body
+    end = body.endswith("|")
+    body = body[:-1] if end else body
+    if not body.strip("*"):
+        return None
+    # a token at an open side, or beside a star, may be part of a longer one
+    bounded = ("" if domain or begin else "*") + body + ("" if end else "*")
+    whole = re.sub(r"(?<=\*)[A-Za-z0-9]+|[A-Za-z0-9]+(?=\*)", "", bounded)
+    pattern = "".join(FILTER_PARTS.get(c) or re.escape(c) for c in body)
+    head = r"\A(?:[^/]*\.)?" if domain else r"\A" if begin else ""
+    pattern = f"(?ai:{head}{pattern}{'\\Z' if end else ''})"
+    return Rule(name, "allow" if exception else "block", pattern, tuple(tokens_of(whole)), False, 0, exception)
+
+
+def filter_rules(lines: DataFrame, line_col: str = "line") -> list[Rule]:
+    """The rules of a table of filter lines, each once, in the order of their text; more than `MAX_RULES` are refused."""
+    rows = lines.select(line_col).where(F.col(line_col).isNotNull()).distinct().orderBy(line_col)
+    rows = rows.limit(2 * MAX_RULES).collect()  # as many lines again may hold no rule
+    if len(rows) == 2 * MAX_RULES:
+        raise ValueError(f"{len(rows)} filter lines or more; at most {MAX_RULES} rules can be sent to the tasks")
+    return [rule for r in rows if (rule := filter_line(r[0]))]
+
+
 def split_url(url: str | None) -> tuple[str, str]:
     _, mark, rest = (url or "").partition("://")
     if not mark:
@@ -79,13 +132,13 @@ def split_url(url: str | None) -> tuple[str, str]:
 
 def token_counts(pages: DataFrame, rules: Sequence[Rule], url_col: str = "url") -> dict[str, int]:
     """How many URLs hold each token of the rules, over all rows."""
-    wanted = frozenset(t for r in rules for t in r.tokens)
+    wanted = frozenset(t.translate(LOWER) for r in rules for t in r.tokens)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             count: dict[str, int] = defaultdict(int)
             for url in batch.column(0):
-                for t in wanted.intersection(TOKEN.findall("".join(split_url(url.as_py())))):
+                for t in wanted.intersection(tokens_of("".join(split_url(url.as_py())))):
                     count[t] += 1
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], names=["t", "n"]
@@ -99,13 +152,14 @@ class Index:
     """Rules by their rarest token."""
 
     def __init__(self, rules: Sequence[Rule], counts: dict[str, int]):
-        order = lambda r: (not r.listed, -len(r.name), -r.host_length)
+        order = lambda r: (not r.listed, not r.exception, -len(r.name), -r.host_length)
         self.rules = sorted(rules, key=order)
         self.by_token: dict[str, list[int]] = defaultdict(list)
         self.always: list[int] = []
         for i, rule in enumerate(self.rules):
             if rule.tokens:
-                self.by_token[min(rule.tokens, key=lambda t: (counts.get(t, 0), t))].append(i)
+                tokens = (t.translate(LOWER) for t in rule.tokens)
+                self.by_token[min(tokens, key=lambda t: (counts.get(t, 0), t))].append(i)
             else:
                 self.always.append(i)
         self.by_token = dict(self.by_token)
@@ -115,7 +169,7 @@ class Index:
         """The first rule, in the order of precedence, among the candidates whose expression fits."""
         text = host + path
         candidates = set(self.always)
-        for token in TOKEN.findall(text):
+        for token in tokens_of(text):
             candidates.update(self.by_token.get(token, ()))
         for i in sorted(candidates):
             if i not in self.compiled:

@@ -144,6 +144,55 @@ def test_index_by_rarest_token_loses_no_rule():
         assert index.find(host, path) == (fit[0] if fit else None)
 
 
+FILTERS = [
+    ("||ads.net^", "block", ["ads.net", "ads.net/x", "a.ads.net/x", "ADS.net:80/"], ["bads.net/", "ads.net.org/", "x.org/ads.net/"]),
+    ("||b.org/track", "block", ["b.org/tracker", "x.b.org/Track/1"], ["b.org/a/track", "bb.org/track"]),
+    ("/banner/*/img^", "block", ["a.b/banner/1/img", "a.b/banner/x/y/img?"], ["a.b/banner/img", "a.b/banner/1/imgs"]),
+    ("|https://shop.", "block", ["shop.de/x"], ["a.shop.de/"]),
+    (".swf|", "block", ["a.b/c.swf", "a.b/c.SWF"], ["a.b/c.swf/d", "a.b/cswf"]),
+    ("@@||good.net^*/ok", "allow", ["good.net/a/ok", "c.good.net/ok/ok"], ["good.net", "good.net/o"]),
+    ("-ad-", "block", ["x.y/a-ad-b"], ["x.y/a-bad-b"]),
+]
+
+
+def test_filter_lines():
+    import re
+
+    for line, action, fit, unfit in FILTERS:
+        rule = urls.filter_line(line)
+        assert (rule.action, rule.listed) == (action, False)
+        assert all(re.search(rule.pattern, x) for x in fit) and not any(re.search(rule.pattern, x) for x in unfit), line
+    none = [None, "", "! note", "[Adblock Plus 2.0]", "a.de##.ad", "a.de#@#.ad", "||x.de^$third-party", "/ad[0-9]/", "*", "||", "@@"]
+    assert not any(map(urls.filter_line, none))
+
+
+def test_filter_lists_against_trying_every_rule(spark):
+    import re
+
+    rnd = random.Random(3)
+    names = [a + b for a in ["ad", "Pix", "cdn", "x", "\u0130k", "\u212a"] for b in ["", "s", "7", "Z"]] + [f"w{i}" for i in range(300)]
+    some = lambda marks, n: "".join(rnd.choice(names) + rnd.choice(marks) for _ in range(n))
+    lines = [
+        rnd.choice(["", "", "|", "||", "@@||", "@@"]) + some(["/", "^", "*", ".", "-", ""], rnd.randint(1, 4)) + rnd.choice(["", "|", "^"])
+        for _ in range(4_000)
+    ]
+    table = spark.createDataFrame([(x,) for x in [*lines, *lines[:50], "! note", None]], "line string")
+    rules = urls.filter_rules(table)
+    assert {r.name for r in rules} == {x for x in lines if urls.filter_line(x)} and len(rules) > 3_000
+    found = [(i, "http://" + some([".", "-", ""], 3) + ".net/" + some(["/", "-", ".", "?", ""], 4)) for i in range(300)]
+    pages = spark.createDataFrame([*found, (300, None)], "page_id bigint, url string")
+    compiled = [(r, re.compile(r.pattern)) for r in rules]
+    want = {300: ("allow", None)}
+    for i, url in found:
+        text = "".join(urls.split_url(url))
+        fit = [r for r, p in compiled if p.search(text)]
+        best = min(fit, key=lambda r: (r.action != "allow", -len(r.name), r.name), default=None)
+        want[i] = (best.action, best.name) if best else ("allow", None)
+    assert {r.page_id: (r.verdict, r.pattern) for r in urls.judge(pages, rules).collect()} == want
+    assert sum(p is not None for _, p in want.values()) > 50
+    assert urls.filter_rules(table.limit(0)) == []
+
+
 def crowd(n, pairs, aside, dim=32, seed=5):
     """Vectors of one label around one direction, at a mutual cosine of about 1 - aside**2, and pairs just linked."""
     rng = np.random.default_rng(seed)
