@@ -40,7 +40,7 @@ EXACT = 5  # segments of the chain without a difference: floor(5 * 3 / 16) = 0
 CHUNK = 1 << 16  # shingles whose bits are counted at once
 
 
-def _bit_counts(hashes: np.ndarray) -> np.ndarray:
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
     """How many hashes have bit 0, 1, .. 63."""
     total = np.zeros(64, np.int64)
     bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -66,7 +66,7 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) ->
     for at in range(0, n, CHUNK):
         size = min(CHUNK, n - at)
         hashes = (digest(next(parts), seed) for _ in range(size))
-        counts += _bit_counts(np.fromiter(hashes, np.uint64, size))
+        counts += bit_counts(np.fromiter(hashes, np.uint64, size))
     return int(np.packbits(2 * counts > n, bitorder="little").view(np.int64)[0])
 
 
@@ -147,9 +147,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(group_of, "fp").select("doc_id", "fp", "h", "root", "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One whole row of each group: one with the group's ``component_id``."""
-    groups = near_duplicates(docs, id_col, text_col)
+def one_of_each(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: DataFrame | None = None
+) -> DataFrame:
+    """One whole row of each group: one with the group's ``component_id``. ``groups``: `near_duplicates`, if not given."""
+    if groups is None:
+        groups = near_duplicates(docs, id_col, text_col)
     kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(
         F.min(F.struct("h", "doc_id")).alias("k")
     )
