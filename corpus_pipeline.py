@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pacemark.llm import bpe, mixing, secrets, simhash, toxicity
+from pacemark.llm import bpe, mixing, nearcopies, secrets, simhash, toxicity
 from pacemark.llm.base import store
 
 
@@ -22,8 +22,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest id."""
-    return simhash.one_of_each(docs)
+    """One document of each group linked by a similarity of 0.8 on five-word shingles: the one with the smallest id."""
+    return simhash.one_of_each(docs, groups=nearcopies.near_copies(docs))
 
 
 def drop_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
