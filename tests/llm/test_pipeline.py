@@ -11,9 +11,10 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pacemark.llm import bpe, secrets, simhash, toxicity
+from pacemark.llm import bpe, secrets, toxicity
 from pacemark.llm.queries import ORACLE, QUERIES
-from test_texts import groups, plain_fingerprint, plain_targets, sha
+from test_nearcopies import plain_set, similar
+from test_texts import groups, plain_targets, sha
 
 SF = "/root/testdata/sf0.001"
 
@@ -54,8 +55,9 @@ def test_stages(spark):
             heads = model.heads()
             kept = [i for i, t in zip(before.doc_id, before.text) if model.score(model.counts(t, heads)) < 0.7]
         elif name == "simhash":
-            groups = simhash.near_duplicates(docs).where("doc_id = component_id")
-            kept = [r.doc_id for r in groups.collect()]
+            sets = [plain_set(t) for t in before.text]
+            least, _ = groups(list(before.doc_id), lambda a, b: similar(sets[a], sets[b]))
+            kept = [i for i, c in zip(before.doc_id, least) if i == c]
         elif name == "secrets":
             import re
 
@@ -111,8 +113,8 @@ def plain_stages(spark, rows, folder):
     model = toxicity.fit(docs, spark.read.parquet(f"{folder}/labels.parquet"))
     heads = model.heads()
     clean = [r for r in rows if model.score(model.counts(r[1], heads)) < 0.7]
-    prints = [plain_fingerprint(r[1]) for r in clean]
-    least, _ = groups([r[0] for r in clean], lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 3)
+    sets = [plain_set(r[1]) for r in clean]
+    least, _ = groups([r[0] for r in clean], lambda a, b: similar(sets[a], sets[b]))
     single = [r for r, c in zip(clean, least) if r[0] == c]
     key = r"(?:password|passwd|secret|token|api_?key)[\"']? *[:=] *[\"']?[A-Za-z0-9+/_.=-]{6,}"
     more = r"AKIA[A-Z0-9]{16,}|[0-9a-f]{24,}|-----BEGIN [A-Z ]*PRIVATE KEY-----|gh[pousr]_[A-Za-z0-9]{36,}"
