@@ -14,6 +14,15 @@ Texts with equal sets are one node. In a segment that many nodes share, all are
 first; pairs are made only between nodes that are not yet in one component, so that a large group of near
 copies gives a link or a few per node and not all pairs. Only components are wanted here, not all links.
 
+Segments of more than `CROWD` nodes are no place to make pairs: of many edited copies of one text most may stay
+under the threshold, and all of them meet. There the shingles themselves part the nodes (`_first_shingles`): each
+set is sorted, rare shingles first; a pair that reaches the threshold has a common shingle among the first ones
+of both sets, at places that leave room for the overlap needed. What an edit brings is rare, so an edited copy has
+few or no common shingles there. All that share one are held against the set with the fewest rare shingles before
+it, the least edited one; pairs follow between components, as above. No pair that reaches the threshold is lost by
+this, whatever the order of the shingles; how rare they are is counted on a sample of the nodes, which changes the
+number of candidates only.
+
 Edge cases: a null or blank text has the empty set; these are one group. A text of one to four words is a
 single shingle. Repeated rows and null ids stay as they are; a group's ``component_id`` is its smallest id
 that is not null. Other columns of the input are ignored, whatever their names. Sets and shingles are told
@@ -42,6 +51,9 @@ RECALL = 0.98  # of pairs at the threshold itself that share a segment
 SHARE = 0.25  # differing bits of a chain; 0.15 are expected at the threshold
 CHAIN = 64  # bits after the shared segment that travel with it
 ROWS = 256  # rings that are cut at once
+CROWD = 16  # nodes of a segment up to which all its pairs are made
+SLOTS = 1 << 20  # counters of shingles
+COUNTED = 4_000_000  # shingles that are counted, about, and an eighth of them at most
 
 
 def plan(distinct: int, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[int, int]:
@@ -122,14 +134,9 @@ def _chains_fit(a: str, b: str, width: int) -> Column:
     return fits
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, bits: int, shingle: int, similarity: float) -> DataFrame:
-    """Those of the pairs ``a, b`` whose rings are near and whose shingle sets reach the similarity."""
-    rings = nodes.select("node", "fp")
-    far = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    near = pairs.join(rings.toDF("a", "fa"), "a").join(rings.toDF("b", "fb"), "b")
-    near = store(near.where(far <= int(SHARE * bits)).select("a", "b"))
-    met = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    least = nodes.join(met, "node", "left_semi").select("node", "rep.h", "rep.doc_id").alias("k")
+def _sets(asked: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """``node, found``: the shingle set of each node asked for (column ``node``)."""
+    least = nodes.join(asked, "node", "left_semi").select("node", "rep.h", "rep.doc_id").alias("k")
     same = (F.col("d.h") == F.col("k.h")) & F.col("d.doc_id").eqNullSafe(F.col("k.doc_id"))
     texts = docs.alias("d").join(least, same).select("k.node", "d.text").dropDuplicates(["node"])
 
@@ -141,7 +148,73 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, bits: int, sh
                     [batch.column(0).slice(i, 1), pa.array([found], pa.list_(pa.int64()))], names=["node", "found"]
                 )
 
-    sets = store(texts.mapInArrow(run, "node bigint, found array<bigint>"))
+    return store(texts.mapInArrow(run, "node bigint, found array<bigint>"))
+
+
+def rare_first(found: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set, rare ones first: a set of this similarity has one of them in common with it."""
+    order = np.lexsort((found, counts[found.view(np.uint64) % np.uint64(SLOTS)]))
+    return found[order[: len(found) - math.ceil(similarity * len(found) - 1e-9) + 1]]
+
+
+def _first_shingles(members: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``x, node, n, at``: `rare_first` of the nodes' sets with their places and the size of the set."""
+    sets = _sets(members, nodes, docs, shingle)
+    total = sets.agg(F.sum(F.size("found"))).first()[0] or 0
+    part = sets.where(F.pmod("node", F.lit(max(8, -(-total // COUNTED)))) == 0)
+    slots = part.select(F.explode("found").alias("x")).groupBy(F.expr(f"cast(x & {SLOTS - 1} as int)").alias("slot"))
+    told = slots.count().where("count > 1").toPandas()  # as many rows as counters at most
+    counts = np.zeros(SLOTS, np.int32)
+    counts[told["slot"].to_numpy(np.int64)] = np.minimum(told["count"], 2**31 - 1)
+    sent = docs.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, found in zip(batch.column(0), batch.column(1)):
+                whole = found.values.to_numpy(zero_copy_only=False)
+                x = rare_first(whole, sent.value, similarity)
+                columns = [x, np.full(len(x), node.as_py()), np.full(len(x), len(whole)), np.arange(len(x))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["x", "node", "n", "at"])
+
+    return store(sets.where(F.size("found") > 0).mapInArrow(run, "x bigint, node bigint, n bigint, at bigint"))
+
+
+def _room(similarity: float) -> Column:
+    """Two sets with a common shingle, ``n, at`` and ``n_b, at_b``, and none before it may reach the similarity."""
+    room = F.least(F.col("n") - F.col("at"), F.col("n_b") - F.col("at_b"))
+    return room >= similarity / (1 + similarity) * (F.col("n") + F.col("n_b")) - 1e-6
+
+
+def _two(a: str, b: str) -> list[Column]:
+    return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
+
+
+def _central(first: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``a, b`` of each node and those that have one of its shingles the earliest."""
+    least = first.groupBy("x").agg(F.min(F.struct(F.col("at").alias("at_b"), F.col("n").alias("n_b"), "node")).alias("s"))
+    least = least.select("x", "s.at_b", "s.n_b", F.col("s.node").alias("node_b"))
+    met = first.join(least, "x").where((F.col("node") != F.col("node_b")) & _room(similarity))
+    return met.select(*_two("node", "node_b"))
+
+
+def _between(first: DataFrame, group: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``a, b`` of different components that may reach the similarity by their first shingles."""
+    first = first.join(group, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = first.groupBy("x").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("x")
+    first = first.join(mixed, "x", "left_semi")
+    other = first.select("x", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "at", "root")])
+    met = first.join(other, "x").where((F.col("root") < F.col("root_b")) & _room(similarity))
+    return met.select(*_two("node", "node_b"))
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, bits: int, shingle: int, similarity: float) -> DataFrame:
+    """Those of the pairs ``a, b`` whose rings are near and whose shingle sets reach the similarity."""
+    rings = nodes.select("node", "fp")
+    far = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    near = pairs.join(rings.toDF("a", "fa"), "a").join(rings.toDF("b", "fb"), "b")
+    near = store(near.where(far <= int(SHARE * bits)).select("a", "b"))
+    met = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = _sets(met, nodes, docs, shingle)
     both = near.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     both = both.withColumn("common", F.size(F.array_intersect("sa", "sb")))
     enough = F.col("common") >= similarity * (F.size("sa") + F.size("sb") - F.col("common"))
@@ -170,19 +243,26 @@ def near_copies(
     )
     ring = _segments(nodes, places, width)  # made anew for each of its two shuffles: cheaper than keeping it
     dealt = ring.repartition("key")
+    crowded = store(dealt.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("key"))
+    members = ring.join(crowded, "key", "left_semi").select("node").distinct()
+    rare = _first_shingles(members, nodes, docs, shingle, similarity)
+    dealt = ring.join(crowded, "key", "left_anti").repartition("key")
     first = dealt.groupBy("key").agg(F.min(F.struct("node", "chain")).alias("s"))
     first = first.select("key", F.col("s.node").alias("b"), F.col("s.chain").alias("cb"))
     stars = dealt.join(first, "key").where((F.col("node") > F.col("b")) & _chains_fit("chain", "cb", width))
-    stars = store(stars.select(F.col("node").alias("a"), "b").distinct())
+    stars = stars.select(F.col("node").alias("a"), "b").unionByName(_central(rare, similarity))
+    stars = store(stars.distinct())
     links = _verified(stars, nodes, docs, bits, shingle, similarity)
 
     group = store(components(links))
-    mine = ring.join(group, "node", "left").withColumn("root", F.coalesce("root", "node")).repartition("key")
+    mine = ring.join(crowded, "key", "left_anti").join(group, "node", "left")
+    mine = mine.withColumn("root", F.coalesce("root", "node")).repartition("key")
     mixed = mine.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
     mine = mine.join(mixed, "key", "left_semi")
     other = mine.select("key", F.col("node").alias("b"), F.col("chain").alias("cb"), F.col("root").alias("rb"))
     more = mine.join(other, "key").where((F.col("root") < F.col("rb")) & _chains_fit("chain", "cb", width))
-    more = store(more.select(F.col("node").alias("a"), "b").distinct().join(stars, ["a", "b"], "left_anti"))
+    more = more.select(*_two("node", "b")).unionByName(_between(rare, group, similarity)).distinct()
+    more = store(more.join(stars, ["a", "b"], "left_anti"))
     links = links.unionByName(_verified(more, nodes, docs, bits, shingle, similarity))
 
     group = nodes.select("node", "least").join(components(links), "node", "left")

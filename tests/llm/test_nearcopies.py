@@ -99,6 +99,39 @@ def test_a_crowd_that_is_no_group(docs_of):
     assert found(docs_of(rows)) == Counter((i, c) for (i, _), c in zip(rows, component))
 
 
+def test_edited_copies_under_the_threshold_do_not_all_meet(docs_of, monkeypatch):
+    """Most copies of one text are edited so often that none is near another: few pairs go to the exact check."""
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(3000)}" for _ in range(150)]
+    rows = [(i, edited(rng, base, rng.randrange(2) if i % 4 == 0 else rng.randrange(4, 14))) for i in range(320)]
+    made, verified = [], nearcopies._verified
+
+    def counted(pairs, *rest):
+        made.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(nearcopies, "_verified", counted)
+    component, _ = expected(rows)
+    assert found(docs_of(rows)) == Counter((i, c) for (i, _), c in zip(rows, component))
+    assert sum(made) <= 20 * len(rows)
+
+
+def test_similar_sets_share_a_rare_shingle_with_room():
+    rng = np.random.default_rng(6)
+    counts = rng.integers(0, 4, nearcopies.SLOTS).astype(np.int32)
+    for size in (1, 4, 5, 9, 60, 300):
+        for _ in range(40):
+            a = rng.integers(0, 2**62, size)
+            gone = rng.integers(0, max(1, size // 9) + 1)
+            b = np.append(a[gone:], rng.integers(0, 2**62, rng.integers(0, max(1, size // 9) + 1)))
+            common = len(np.intersect1d(a, b))
+            if common < 0.8 * (len(a) + len(b) - common):
+                continue
+            x, y = (nearcopies.rare_first(s, counts, 0.8).tolist() for s in (a, b))
+            i, j = next((i, y.index(v)) for i, v in enumerate(x) if v in y)
+            assert min(len(a) - i, len(b) - j) >= 0.8 / 1.8 * (len(a) + len(b)) - 1e-6
+
+
 def test_very_long_text_and_a_near_copy(docs_of):
     rng = random.Random(2)
     words = [f"w{rng.randrange(10**5)}" for _ in range(300_000)]
