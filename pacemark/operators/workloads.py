@@ -17,6 +17,8 @@ from pacemark.session import cut, cut_in_layout, runs_in_tasks, settings
 
 runs_in_tasks(__name__)
 
+SORTED_ROWS = 500_000  # of a range partition
+
 
 def wordcount(df: DataFrame, text: str = "text", separator: str = r"[ \t\r\n]+") -> DataFrame:
     """Occurrences of each word; counted per task before the shuffle."""
@@ -57,7 +59,14 @@ def pi_random(spark: SparkSession, partitions: int, seed: int = 1) -> DataFrame:
 
 
 def total_sort(df: DataFrame, order: Sequence[str], partitions: int | None = None) -> DataFrame:
-    """Rows in total order: range partitions, each sorted."""
+    """Rows in total order: range partitions, each sorted.
+
+    Without a number of ``partitions``, a partition has about `SORTED_ROWS` rows at most, whatever the size of the
+    table, so that the memory of a task does not grow with it.
+    """
+    if partitions is None and (rows := df.count()) > SORTED_ROWS:
+        least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        partitions = max(least, -(-rows // SORTED_ROWS))
     ranged = (
         df.repartitionByRange(*order)
         if partitions is None

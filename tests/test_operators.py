@@ -293,6 +293,14 @@ def test_sort_and_probes(spark, tmp_path):
     assert runs.io_summary(read.withColumn("g", F.lit(0)), ["g"], "mb", "seconds").first().n_tasks >= 1
 
 
+def test_sorted_partitions_do_not_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(workloads, "SORTED_ROWS", 200)
+    df = spark.range(20_000).select((F.col("id") * 7919 % 20_011).alias("x"), "id")
+    out = workloads.total_sort(df, ["x", "id"])
+    assert values(workloads.sort_check(out, ["x", "id"]), "n_rows", "overlaps") == [(20_000, 0)]
+    assert out.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] <= 1_000
+
+
 def test_pi(spark):
     got = workloads.pi_random(spark, 2).first()
     assert got.n == 400_000 and got.pi == pytest.approx(3.1416, abs=0.02)
