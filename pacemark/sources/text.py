@@ -130,8 +130,10 @@ def report_blocks(spark: SparkSession, path: str, zones: dict[str, str] = ZONES)
 
 def split_reports(texts: DataFrame, text: str = "text", name: str = "block") -> DataFrame:
     """The blocks of texts that hold whole reports, one row each, without their headers' fixed part."""
-    pieces = F.split(text, "(?:^|\\n)" + REPORT_HEADER)
-    return texts.withColumn(name, F.explode(F.slice(pieces, 2, F.size(pieces)))).drop(text)
+    # a line break before the text makes the header one literal, and the text is parted once only
+    pieces = F.split(F.concat(F.lit("\n"), text), "\n" + REPORT_HEADER)
+    others = [c for c in texts.columns if c not in (text, name)]
+    return texts.select(*others, F.posexplode(pieces).alias("_at", name)).where("_at > 0").drop("_at")
 
 
 def report_fields(blocks: DataFrame, text: str = "block", zones: dict[str, str] = ZONES) -> DataFrame:

@@ -136,3 +136,9 @@ def test_report_blocks_without_empty_lines(spark, tmp_path):
     texts = spark.createDataFrame([(1, joined), (2, torn), (3, "none"), (4, None)], "id int, text string")
     split = text.report_fields(text.split_reports(texts))
     assert sorted((r.id, r.op) for r in split.collect()) == [(1, "read"), (1, "write"), (2, "append")]
+
+
+def test_reports_are_parted_once(spark, capsys):
+    texts = spark.range(1).select("id", F.concat(F.lit("----- TestDFSIO ----- : read\n"), "id").alias("text"))
+    text.split_reports(texts.repartition(1)).explain()
+    assert capsys.readouterr().out.count("split(") == 1
