@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from pacemark.operators import activity
@@ -160,3 +161,46 @@ def test_sessions_of_a_stream_in_pieces(spark, tmp_path, state_store):
     mark = rows[-1][2] - SECOND // 2
     want = plain_sessions([(r[1], r[2]) for r in rows], 65 * SECOND)
     assert got == Counter({s: n for s, n in want.items() if s[2] + 65 * SECOND <= mark})
+
+
+class Calls:
+    """Stands for a state and its handle; notes each call, a round trip to the state store."""
+
+    def __init__(self):
+        self.made, self.kept = [], None
+
+    def getValueState(self, *_):
+        return self
+
+    def get(self):
+        self.made.append("get")
+        return self.kept
+
+    def update(self, value):
+        self.made.append("update")
+        self.kept = value
+
+    def registerTimer(self, at):
+        self.made.append(("wake", at))
+
+    def deleteTimer(self, at):
+        self.made.append(("drop", at))
+
+
+def test_few_state_calls_per_client_and_batch():
+    clients, calls = live.LiveClients(100 * SECOND), Calls()
+    clients.init(calls)
+    sent = [Row(us=us * SECOND, event_id=i, verb=verb, v=v) for i, (us, verb, v) in enumerate([(9, "UPDATE", 4), (1, "IN", 0)])]
+    assert list(clients.handleInputRows((0, 1), iter(sent), None)) == []  # the first notice is not sent on
+    assert calls.made == ["get", "update", ("wake", 109_000)]
+    calls.made.clear()
+    again = [Row(us=9 * SECOND, event_id=7, verb="IN", v=0)]
+    assert [tuple(r) for r in clients.handleInputRows((0, 1), iter(again), None)] == [(0, 1, 9 * SECOND, "reset", 4)]
+    assert calls.made == ["get", "update"]  # the timer stays
+
+
+def test_state_settings_end_with_the_stream(spark):
+    name = "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows"
+    with settings(spark, **live.STATE_SETTINGS):
+        assert spark.conf.get(name) == "false"
+    assert spark.conf.get(name, None) is None
