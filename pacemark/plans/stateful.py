@@ -13,7 +13,7 @@ from pacemark.session import cut, settings
 from pacemark.sources import logsource
 from pacemark.sources.changelog import ChangeLog
 from pacemark.sources.sinks import without_repeats
-from pacemark.streaming.live import STATE_STORE, notices
+from pacemark.streaming.live import STATE_SETTINGS, notices
 from pacemark.streaming.run import read_stream, run_to_table, stream_folder
 from pacemark.streaming.spans import run_spans
 
@@ -59,7 +59,7 @@ def restored_clients(messages: DataFrame) -> DataFrame:
 def live_notices(spark, sf):
     restored = restored_clients(client_messages(b.table(spark, sf, "events")))
     messages = client_messages(table_stream(spark, sf, "events"))
-    with settings(spark, streaming__stateStore__providerClass=STATE_STORE):
+    with settings(spark, **STATE_SETTINGS):
         return run_to_table(notices(messages, TIMEOUT_US, "10 minutes 0.5 seconds", restored))
 
 
@@ -72,7 +72,7 @@ def run_spans_stream(spark, sf):
     ends = table_stream(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("run"), "l_linenumber", F.col("l_shipdate").cast("timestamp").alias("end_ts")
     )
-    with settings(spark, streaming__stateStore__providerClass=STATE_STORE):
+    with settings(spark, **STATE_SETTINGS):
         found = run_to_table(run_spans(starts, ends, ["run"], "60 days", "12 hours"))
     return found.select("run", "l_linenumber", "seconds", "status")
 
@@ -93,7 +93,7 @@ def client_sessions_stream(spark, sf):
     messages = client_messages(table_stream(spark, sf, "events"))
     merged = activity.session_stream(messages, ["client"], "ts", GAP, "10 minutes 0.5 seconds")
     local = {"streaming__sessionWindow__merge__sessions__in__local__partition": "true"}
-    with settings(spark, streaming__stateStore__providerClass=STATE_STORE, **local):
+    with settings(spark, **STATE_SETTINGS, **local):
         return _micros(run_to_table(merged))
 
 
@@ -214,6 +214,6 @@ def stream_without_repeats(spark, sf):
     folder = stream_folder(spark)
     sent = events.withColumn("s", F.explode(times))
     sent.withColumn("ts", F.timestamp_micros(F.col("us") + F.col("s") * 1_000_000)).drop("s").write.parquet(f"{folder}/sent")
-    with settings(spark, streaming__stateStore__providerClass=STATE_STORE):
+    with settings(spark, **STATE_SETTINGS):
         kept = run_to_table(without_repeats(read_stream(spark, f"{folder}/sent"), ["cluster", "event_id"]), folder)
     return kept.select("cluster", "event_id", "verb", "v")
