@@ -108,6 +108,19 @@ def test_sketched_median_of_a_large_group(spark):
     assert got[3] == (2, 5.0)
 
 
+def test_sketched_median_of_small_groups(spark):
+    """Values far apart, so that the lower of two middle rows is a wrong median."""
+    rng = random.Random(7)
+    groups = {n: [rng.randint(1, 1_000) for _ in range(n)] for n in range(1, 41)}
+    groups |= {50: [1, 2, 10, 20], 51: [1, 1, 9, 9], 52: [3, 3, 3, 8, 8, 8]}
+    rows = [(key, i % 3, v) for key, values in groups.items() for i, v in enumerate(values)]
+    daily = quantiles.sketches(spark.createDataFrame(rows, "key bigint, day int, value int"), ["key", "day"], "value")
+    got = {r.key: (r.n, r.grouped_median) for r in quantiles.grouped_median(quantiles.merged(daily, ["key"])).collect()}
+    assert got.keys() == groups.keys()
+    for key, values in groups.items():
+        assert got[key] == (len(values), pytest.approx(statistics.median_grouped(values), abs=0.06))
+
+
 def test_subtotals(spark):
     rows = [("x", 1, "AF", 2.0), ("x", 1, "DF", 4.0), ("x", 2, "AF", 6.0), (None, 1, "DF", 1.0), ("y", None, "AF", None)]
     df = spark.createDataFrame(rows, "benchmark string, rep int, phase string, seconds double")
